@@ -1,0 +1,11 @@
+"""Operators for preparing training text at scale.
+
+Nothing else in the library imports this subpackage.  Its functions travel to
+the executors by value, so that these need no copy of the repository.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
