@@ -1,7 +1,7 @@
 """Queries of the text operators and the SQL that some of them must equal."""
 
-from stratapanel.llm import token_counts
+from stratapanel.llm import exact_dedup, mixing, token_counts
 
-_MODULES = [token_counts]
+_MODULES = [mixing, token_counts, exact_dedup]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
