@@ -1,6 +1,6 @@
 """Queries of the text operators and the SQL that some of them must equal."""
 
-from stratapanel.llm import exact_dedup, mixing, simhash, token_counts
+from stratapanel.llm import exact_dedup, language, mixing, simhash, token_counts
 
 _MODULES = [mixing, simhash, token_counts, exact_dedup, simhash]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
