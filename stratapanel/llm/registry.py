@@ -1,7 +1,7 @@
 """Queries of the text operators and the SQL that some of them must equal."""
 
-from stratapanel.llm import exact_dedup, language, mixing, simhash, suffix_dedup, token_counts
+from stratapanel.llm import exact_dedup, language, licenses, mixing, simhash, suffix_dedup, token_counts
 
-_MODULES = [mixing, language, suffix_dedup, token_counts, exact_dedup, simhash]
+_MODULES = [mixing, language, suffix_dedup, token_counts, exact_dedup, licenses, simhash]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
