@@ -47,3 +47,15 @@ def doc_key(id_col: str = "doc_id", text_col: str = "text") -> list:
 
 def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
+
+
+#: Rows of at most a few dozen bytes that are sent to all executors rather than shuffled.
+NEAR_ROWS = 250_000
+
+
+def near(small: DataFrame, rows: int = NEAR_ROWS) -> DataFrame:
+    """``small`` marked for broadcast if a count shows that it is; else as it is, for a shuffled join.
+
+    ``small`` should be materialised, as it is counted here and read again by the join.
+    """
+    return F.broadcast(small) if small.count() <= rows else small
