@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import WORD, cut, documents
+from stratapanel.llm.common import WORD, cut, documents, near
 
 #: A rank has LEVELS digits of BITS bits; rows that share all of them are sorted.
 BITS, LEVELS = 10, 2
@@ -57,7 +57,7 @@ def targets(sources: DataFrame, max_repeats: float = 3.0) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=ranked_weights, max_repeats: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", odds_col: str | None = None) -> DataFrame:
-    """One row for each input row: doc_id, source, size, source_size, target, copies, taken.
+    """One row for each input row: doc_id, th (digest of the text), source, size, source_size, target, copies, taken.
 
     ``weights`` turns a table (source, source_size) into one with a weight for
     each source.  ``odds_col`` may name a positive factor of each document's
@@ -74,6 +74,7 @@ def mix(docs: DataFrame, weights=ranked_weights, max_repeats: float = 3.0, seed:
     rows = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
+            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             _unit(F.col(id_col), seed).alias("u"),
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, weights=ranked_weights, max_repeats: float = 3.0, seed:
     kind = F.when(F.col("code").isNull(), 0).when(F.col("has_cut").isNull() | (F.col("code") < F.col("head")), 1).when(F.col("code") > F.col("head"), 0).otherwise(2)
     marked = marked.withColumn("kind", kind)
     edge = Window.partitionBy("source").orderBy("rank", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = ["doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).alias("taken")]
+    out = ["doc_id", "th", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).alias("taken")]
     sure = marked.where("kind < 2").withColumn("copies", F.col("whole") + F.col("kind"))
     near = (
         marked.where("kind = 2")
@@ -122,6 +123,21 @@ def mix(docs: DataFrame, weights=ranked_weights, max_repeats: float = 3.0, seed:
     return sure.select(*out).unionByName(near.select(*out))
 
 
+def repeat(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` as often as ``mixed`` (from the same rows) takes them, all columns kept.
+
+    Rows alike in id and text share what is taken of them.
+    """
+    by = ["_id", "_th"]
+    shares = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.sum("copies").alias("_n"), F.count("*").alias("_c"))
+    shares = near(cut(shares.where("_n > 0")))
+    key = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_th"))
+    rows = docs.join(shares, key)
+    alone = rows.where("_c = 1").withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))))
+    alike = rows.where("_c > 1").dropDuplicates(by).withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))))
+    return alone.unionByName(alike).drop(*by, "_n", "_c", "_k")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import cut, documents
+from stratapanel.llm.common import cut, doc_key, documents, near
 
 #: Differing bits of a link; bands (64 bits as evenly as may be); nodes of a tree.
 RADIUS, BANDS, TREE = 4, 6, 1024
@@ -47,9 +47,9 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp long) for each row, and the columns in ``keep``."""
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, th, fp long) for each row; th is a digest of the text."""
+    picked = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "text")
 
     def make(batches):
@@ -191,7 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, fp long, component_id.
+    """One row for each input row: doc_id, th (digest of the text), fp long, component, component_id.
 
     ``component_id`` is the smallest doc_id that links of at most ``radius`` bits
     reach, itself included.  Null, empty and blank texts have fingerprint zero and
@@ -204,8 +204,23 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, bands
     parts = components(links(nodes.select("fp"), radius, bands)).withColumnRenamed("node", "fp")
     whole = nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = whole.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = whole.select("fp", "component").join(named, "component").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = whole.select("fp", "component").join(named, "component").select("fp", "component", "component_id")
+    return marked.join(classes, "fp").select("doc_id", "th", "fp", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = RADIUS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns kept, that come first in their component.
+
+    First is the smallest id (null last), then text digest; of rows alike in both one stays.
+    """
+    found = cut(near_duplicates(docs, words, radius, bands, id_col, text_col))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("f"))
+    first = first.select("component", F.col("f.doc_id").alias("_id"), F.col("f.th").alias("_th"))
+    again = found.groupBy("doc_id", "th").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("doc_id").alias("i"), F.col("th").alias("h"), F.lit(True).alias("_again"))
+    first = first.join(again, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_th") == F.col("h")), "left").select("_id", "_th", "_again")
+    rows = docs.join(near(cut(first)), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_th")))
+    alike = rows.where("_again").dropDuplicates(["_id", "_th"])
+    return rows.where("_again is null").unionByName(alike).drop("_id", "_th", "_again")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
