@@ -1 +1 @@
-
+"""Column-returning functions."""

@@ -1 +1 @@
-
+"""Operators over panels: DataFrame in, DataFrame out."""

@@ -1,4 +1,6 @@
 """All registered panel queries and the SQL that each must equal."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from stratapanel.plans import loss_queries, panel_queries, scaling_queries  # noqa: F401
+from stratapanel.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

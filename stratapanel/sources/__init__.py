@@ -1 +1 @@
-
+"""Where panels come from and results go."""

@@ -1 +1 @@
-
+"""Panels and counters over streams; an extension of the batch operators."""
