@@ -24,13 +24,14 @@ def point_metrics() -> dict[str, Column]:
     """Aggregates over cells p and y in raw space; both are held at 0 or above."""
     p, y = _raw("p"), _raw("y")
     log_error = F.log1p(p) - F.log1p(y)
+    spread = F.stddev_pop(p) * F.stddev_pop(y)  # no correlation with a constant
     return {
         "n": F.count("*"),
         "mse": F.avg((p - y) * (p - y)),
         "msle": F.avg(log_error * log_error),
         "rmsle": F.sqrt(F.avg(log_error * log_error)),
         "mae": F.avg(F.abs(p - y)),
-        "pearson": F.corr(p, y),
+        "pearson": F.when(spread > 1e-9, F.covar_pop(p, y) / F.when(spread > 1e-9, spread)),
         "ratio": F.coalesce(F.avg(F.when(y > 0, p / F.when(y > 0, y))), F.lit(1.0)),
     }
 
