@@ -11,13 +11,13 @@ from stratapanel.operators import audit
 from stratapanel.spec import PanelSpec
 
 
-def panel_path(root: str, run_type: str, extension: str = ".parquet") -> str:
-    return f"{root.rstrip('/')}/{run_type}_viewser_df{extension}"
+def panel_path(root: str, run_type: str, stem: str = "panel", extension: str = ".parquet") -> str:
+    return f"{root.rstrip('/')}/{run_type}_{stem}{extension}"
 
 
-def read_panel(spark: SparkSession, spec: PanelSpec, root: str | None = None, run_type: str | None = None, cached_path: str | None = None) -> tuple[DataFrame, PanelSpec]:
+def read_panel(spark: SparkSession, spec: PanelSpec, root: str | None = None, run_type: str | None = None, cached_path: str | None = None, stem: str = "panel") -> tuple[DataFrame, PanelSpec]:
     """The panel of a run type, or of an explicit path, with its schema checked; features default to the rest."""
-    path = cached_path or panel_path(root, run_type)
+    path = cached_path or panel_path(root, run_type, stem)
     panel = read_csv(spark, path, None) if path.endswith(".csv") else spark.read.parquet(path)
     if not spec.features:
         spec = spec.with_features_of(panel.columns)

@@ -192,7 +192,7 @@ def test_schedules(spark):
 
 
 def test_sources(spark, frame, tmp_path):
-    frame.write.parquet(str(tmp_path / "calibration_viewser_df.parquet"))
+    frame.write.parquet(str(tmp_path / "calibration_panel.parquet"))
     got, spec = tables.read_panel(spark, PanelSpec("month_id", "entity", ("y",)), str(tmp_path), "calibration")
     assert spec.features == ("f",) and got.count() == 120
     tables.write_raw_and_log(frame, "y", str(tmp_path / "raw"), str(tmp_path / "log"))
