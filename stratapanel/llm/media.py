@@ -146,7 +146,7 @@ def decode_image(stored: bytes) -> bytes:
     while at < len(stored):
         (n,), kind = struct.unpack(">I", stored[at : at + 4]), stored[at + 4 : at + 8]
         body = stored[at + 8 : at + 8 + n]
-        if struct.unpack(">I", stored[at + 8 + n : at + 12 + n])[0] != zlib.crc32(kind + body):
+        if stored[at + 8 + n : at + 12 + n] != struct.pack(">I", zlib.crc32(kind + body)):
             raise ValueError("damaged chunk")
         if kind == b"IHDR":
             width = struct.unpack(">I", body[:4])[0]
