@@ -7,7 +7,7 @@ import shutil
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts define it (for Java and RE2 patterns).
@@ -49,13 +49,15 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-#: Rows of at most a few dozen bytes that are sent to all executors rather than shuffled.
+#: Rows of a few dozen bytes that are sent to all executors rather than shuffled.
 NEAR_ROWS = 250_000
 
 
-def near(small: DataFrame, rows: int = NEAR_ROWS) -> DataFrame:
+def near(small: DataFrame, rows: int = NEAR_ROWS, weight: Column | None = None) -> DataFrame:
     """``small`` marked for broadcast if a count shows that it is; else as it is, for a shuffled join.
 
-    ``small`` should be materialised, as it is counted here and read again by the join.
+    A row counts as ``weight`` rows (default 1), for rows that hold arrays.  ``small``
+    should be materialised, as it is counted here and read again by the join.
     """
-    return F.broadcast(small) if small.count() <= rows else small
+    size = small.count() if weight is None else small.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(small) if size <= rows else small

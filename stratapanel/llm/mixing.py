@@ -88,10 +88,10 @@ def mix(docs: DataFrame, weights=ranked_weights, max_repeats: float = 3.0, seed:
         .withColumn("rest", rest)
         .withColumn("part", F.when(F.col("source_size") > 0, rest / F.col("source_size")).otherwise(0.0))
     )
-    plan = cut(plan.withColumnRenamed("source", "s"))
+    plan = cut(plan.withColumnRenamed("source", "s"))  # a row for each source
     unit = (F.col("u") + 0.5) / F.lit(float(2**52))
     ranked = (
-        rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+        rows.join(near(plan), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("rank", F.when((F.col("part") > 0) & (F.col("size") > 0), (unit / (1 - unit)) / (F.col("part") / (1 - F.col("part")) * F.col("odds"))))
         .withColumn("code", F.floor(F.col("rank") / (1 + F.col("rank")) * F.lit(float(2 ** (BITS * LEVELS)))).cast("long"))
         .drop("s", "odds")
@@ -102,25 +102,25 @@ def mix(docs: DataFrame, weights=ranked_weights, max_repeats: float = 3.0, seed:
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
         at = F.shiftright("code", shift)
-        inside = slim.join(state.select("s", "head", "rest", F.col("words").alias("base")), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("code", shift + BITS) == F.col("head")))
+        inside = slim.join(near(state.select("s", "head", "rest", F.col("words").alias("base"))), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("code", shift + BITS) == F.col("head")))
         sums = inside.groupBy("s", at.alias("digit")).agg(F.sum("size").alias("n"), F.first("base").alias("base"), F.first("rest").alias("rest"))
         run = Window.partitionBy("s").orderBy("digit")
         sums = sums.withColumn("until", F.col("base") + F.sum("n").over(run)).where(F.col("until") > F.col("rest"))
         state = cut(sums.groupBy("s").agg(F.min(F.struct("digit", F.col("until") - F.col("n"), "rest")).alias("m")).select("s", F.col("m.digit").alias("head"), F.col("m.col2").alias("words"), F.col("m.rest").alias("rest")))
     state = state.select(F.col("s").alias("cs"), "head", "words", F.lit(True).alias("has_cut"))
-    marked = ranked.join(state, F.col("source").eqNullSafe(F.col("cs")) , "left")
+    marked = ranked.join(near(state), F.col("source").eqNullSafe(F.col("cs")), "left")
     # A source without a cut takes all that have a rank (its rest is its size, up to rounding).
     kind = F.when(F.col("code").isNull(), 0).when(F.col("has_cut").isNull() | (F.col("code") < F.col("head")), 1).when(F.col("code") > F.col("head"), 0).otherwise(2)
     marked = marked.withColumn("kind", kind)
     edge = Window.partitionBy("source").orderBy("rank", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = ["doc_id", "th", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).alias("taken")]
     sure = marked.where("kind < 2").withColumn("copies", F.col("whole") + F.col("kind"))
-    near = (
+    last = (
         marked.where("kind = 2")
         .withColumn("till", F.col("words") + F.coalesce(F.sum("size").over(edge), F.lit(0)))
         .withColumn("copies", F.col("whole") + (F.col("till") + F.col("size") / 2 <= F.col("rest")).cast("long"))
     )
-    return sure.select(*out).unionByName(near.select(*out))
+    return sure.select(*out).unionByName(last.select(*out))
 
 
 def repeat(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,14 +128,14 @@ def repeat(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col:
 
     Rows alike in id and text share what is taken of them.
     """
-    by = ["_id", "_th"]
-    shares = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.sum("copies").alias("_n"), F.count("*").alias("_c"))
-    shares = near(cut(shares.where("_n > 0")))
-    key = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_th"))
+    by = ["__mix_id", "__mix_th"]
+    shares = mixed.groupBy(F.col("doc_id").alias("__mix_id"), F.col("th").alias("__mix_th")).agg(F.sum("copies").alias("__mix_n"), F.count("*").alias("__mix_c"))
+    shares = near(cut(shares.where("__mix_n > 0")))
+    key = F.col(id_col).eqNullSafe(F.col("__mix_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__mix_th"))
     rows = docs.join(shares, key)
-    alone = rows.where("_c = 1").withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))))
-    alike = rows.where("_c > 1").dropDuplicates(by).withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))))
-    return alone.unionByName(alike).drop(*by, "_n", "_c", "_k")
+    alone = rows.where("__mix_c = 1").withColumn("__mix_k", F.explode(F.array_repeat(F.lit(0), F.col("__mix_n").cast("int"))))
+    alike = rows.where("__mix_c > 1").dropDuplicates(by).withColumn("__mix_k", F.explode(F.array_repeat(F.lit(0), F.col("__mix_n").cast("int"))))
+    return alone.unionByName(alike).drop(*by, "__mix_n", "__mix_c", "__mix_k")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
