@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from stratapanel.llm.common import documents
+from stratapanel.llm.common import cut, documents, near
 
 #: Expected labelled documents for each language in the sample; lengths of n-grams.
 FIT_DOCS, ORDERS = 1500, (3, 4)
@@ -156,7 +156,7 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Filters:
     language and all if there are fewer; its texts are read whole.
     """
     labelled = labelled.where(F.col("lang").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = near(cut(labelled.groupBy("lang").agg(F.count("*").alias("n"))))  # a row for each language
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
     sample = labelled.join(sizes, "lang").where(draw * F.col("n") < F.lit(fit_docs) * F.lit(1 << 20)).select("lang", F.coalesce("text", F.lit("")).alias("text"))
 
