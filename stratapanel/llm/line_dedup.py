@@ -23,6 +23,8 @@ from stratapanel.llm.common import WORD, cut, documents, near
 
 #: Words of a line to be compared at all (a shorter line always stays), and for the edit bound.
 MIN_WORDS, NEAR_WORDS = 4, 10
+#: How a line meets a key: without a word like another; without a word like a whole line; whole.
+REPLACED, LONGER, SHORTER = 0, 1, 2
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,17 +53,19 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     joined = F.array_join("words", " ")
     halves = []
     for q in (F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")):
-        halves += [F.struct(F.xxhash64(F.lit(0), q, F.slice("words", F.lit(1), q)).alias("half"), F.lit(True).alias("head")), F.struct(F.xxhash64(F.lit(1), q, F.slice("words", F.col("n") - q + 1, q)).alias("half"), F.lit(False).alias("head"))]
+        # even hashes stand for first halves, odd ones for last halves
+        halves += [F.xxhash64(q, F.slice("words", F.lit(1), q)).bitwiseAND(F.lit(-2)), F.xxhash64(q, F.slice("words", F.col("n") - q + 1, q)).bitwiseOR(F.lit(1))]
     slim = cut(w.select("doc_id", "ih", "line_no", "n", F.xxhash64(joined).alias("k1"), F.xxhash64(F.lit(7), joined).alias("k2"), F.when(F.col("n") >= near_words, F.array_distinct(F.array(*halves))).alias("halves")))
 
     firsts = slim.groupBy("k1", "k2").agg(F.min(order).alias("first"), F.count("*").alias("c")).where("c > 1").select("k1", "k2", "first")
     same = slim.join(near(cut(firsts)), ["k1", "k2"]).where(order != F.col("first")).select("ih", "line_no", F.lit(False).alias("is_near"))
 
-    parts = slim.where("halves is not null").select("doc_id", "ih", "line_no", "k1", "k2", F.inline("halves"))
+    parts = slim.where("halves is not null").select("doc_id", "ih", "line_no", "k1", "k2", F.explode("halves").alias("half"))
     shared = parts.groupBy("half").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("half")
-    likely = parts.join(near(cut(shared)), "half").groupBy("k1", "k2").agg(F.min(order).alias("o"), F.max("head").alias("tail_differs"), F.max(~F.col("head")).alias("head_differs"))
+    likely = parts.join(near(cut(shared)), "half").groupBy("k1", "k2").agg(F.min(order).alias("o"), F.max(F.col("half") % 2 == 0).alias("tail_differs"), F.max(F.col("half") % 2 != 0).alias("head_differs"))
     likely = cut(likely.select("o", "tail_differs", "head_differs", F.col("o.ih").alias("ih"), F.col("o.line_no").alias("line_no")))
-    lines = cut(_lines(docs, id_col, text_col).select("ih", "line_no", "line").join(near(likely), ["ih", "line_no"]).select("o", "tail_differs", "head_differs", _words("line").alias("words"), F.monotonically_increasing_id().alias("uid")))
+    lines = _lines(docs, id_col, text_col).select("ih", "line_no", "line").join(near(likely), ["ih", "line_no"]).select("o", "tail_differs", "head_differs", _words("line").alias("words"))
+    lines = cut(lines.sort("o").withColumn("uid", F.monotonically_increasing_id()))  # uid in order of first places
 
     # Hashes of all deletion variants of a line in one pass over its words: the XOR of
     # (word, place), where the words behind the deleted one move up by a place.
@@ -70,31 +74,32 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     before = every.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     n, i = F.size("words"), F.col("i")
     half = F.floor((F.col("n") - 1) / 2)
-    words = lines.select("uid", "o", "tail_differs", "head_differs", n.alias("n"), F.posexplode("words").alias("i", "word"))
-    words = words.select("*", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", i - 1).alias("moved")).repartition("uid")
+    words = lines.select("uid", "tail_differs", "head_differs", n.alias("n"), F.posexplode("words").alias("i", "word"))
+    words = words.select("uid", "tail_differs", "head_differs", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", i - 1).alias("moved")).repartition("uid")
     variants = words.select(
-        "uid", "o", "n", "i",
+        "uid", "n", "i",
         F.coalesce(F.bit_xor("here").over(before), F.lit(0)).bitwiseXOR(F.bit_xor("moved").over(upto)).bitwiseXOR(F.bit_xor("moved").over(every)).alias("gone"),
         F.bit_xor("here").over(every).alias("whole"),
         ((F.col("tail_differs") & (i >= half)) | (F.col("head_differs") & (i < F.col("n") - half))).alias("use"),
     )
-    row = lambda role, key, at: F.struct(F.lit(role).alias("role"), key.alias("key"), F.struct("o", at.alias("i"), "uid").alias("me"))
-    replaced = F.when(F.col("use"), row("replaced", F.xxhash64(F.lit(0), "gone", "i", "n"), i))
-    longer = F.when(F.col("use"), row("longer", F.xxhash64(F.lit(1), "gone", F.col("n") - 1), i))
-    shorter = F.when(i == 0, row("shorter", F.xxhash64(F.lit(1), "whole", "n"), F.lit(None).cast("int")))
-    keyed = cut(variants.select(F.explode(F.array_compact(F.array(replaced, longer, shorter))).alias("v")).select("v.*"))
-    least = lambda role: F.min(F.when(F.col("role") == role, F.col("me"))).alias(role)
-    groups = keyed.groupBy("key").agg(least("replaced"), least("longer"), least("shorter"), F.count_if(F.col("role") == "replaced").alias("c"))
+    row = lambda role, key: F.struct(F.lit(role).cast("byte").alias("role"), key.alias("key"))
+    replaced = F.when(F.col("use"), row(REPLACED, F.xxhash64(F.lit(0), "gone", "i", "n")))
+    longer = F.when(F.col("use"), row(LONGER, F.xxhash64(F.lit(1), "gone", F.col("n") - 1)))
+    shorter = F.when(i == 0, row(SHORTER, F.xxhash64(F.lit(1), "whole", "n")))
+    keyed = cut(variants.select("uid", "i", F.explode(F.array_compact(F.array(replaced, longer, shorter))).alias("v")).select("uid", "i", "v.*"))
+    role = F.col("role")
+    least = lambda r, name: F.min(F.when(role == r, F.struct("uid", "i"))).alias(name)
+    groups = keyed.groupBy("key").agg(least(REPLACED, "replaced"), least(LONGER, "longer"), least(SHORTER, "shorter"), F.count_if(role == REPLACED).alias("c"))
     groups = cut(groups.where("c > 1 or (longer is not null and shorter is not null)"))
     found = keyed.join(near(groups), "key")
-    other = F.when(F.col("role") == "replaced", F.col("replaced")).when(F.col("role") == "longer", F.col("shorter")).otherwise(F.col("longer"))
-    pairs = found.select("role", "me", other.alias("other")).where(F.col("other.o") < F.col("me.o"))
-    mine = lines.select(F.col("uid").alias("a"), F.col("words").alias("mine"))
+    other = F.when(role == REPLACED, F.col("replaced")).when(role == LONGER, F.col("shorter")).otherwise(F.col("longer"))
+    pairs = found.withColumn("other", other).select("role", F.col("uid").alias("a"), F.col("i").alias("ai"), F.col("other.uid").alias("b"), F.col("other.i").alias("bi")).where("b < a")
+    mine = lines.select(F.col("uid").alias("a"), F.col("words").alias("mine"), "o.ih", "o.line_no")
     theirs = lines.select(F.col("uid").alias("b"), F.col("words").alias("theirs"))
-    pairs = pairs.select("role", "me", "other", F.col("me.uid").alias("a"), F.col("other.uid").alias("b")).join(mine, "a").join(theirs, "b")
-    cut_mine = F.when(F.col("role") == "shorter", F.col("mine")).otherwise(_without(F.col("mine"), F.col("me.i")))
-    cut_theirs = F.when(F.col("role") == "longer", F.col("theirs")).otherwise(_without(F.col("theirs"), F.col("other.i")))
-    close = pairs.where(cut_mine == cut_theirs).select("me.o.ih", "me.o.line_no").distinct().withColumn("is_near", F.lit(True))
+    pairs = pairs.join(mine, "a").join(theirs, "b")
+    cut_mine = F.when(role == SHORTER, F.col("mine")).otherwise(_without(F.col("mine"), F.col("ai")))
+    cut_theirs = F.when(role == LONGER, F.col("theirs")).otherwise(_without(F.col("theirs"), F.col("bi")))
+    close = pairs.where(cut_mine == cut_theirs).select("ih", "line_no").distinct().withColumn("is_near", F.lit(True))
     return same.unionByName(close)
 
 
@@ -107,13 +112,13 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NE
     last.  An empty table gives an empty result.  The three added columns replace
     columns of these names.
     """
-    going = repeated_lines(docs, min_words, near_words, id_col, text_col).groupBy("ih").agg(F.collect_set("line_no").alias("_going"), F.countDistinct(F.when(F.col("is_near"), F.col("line_no"))).alias("_near")).withColumnRenamed("ih", "_ih")
+    going = repeated_lines(docs, min_words, near_words, id_col, text_col).groupBy("ih").agg(F.collect_set("line_no").alias("__lines_going"), F.countDistinct(F.when(F.col("is_near"), F.col("line_no"))).alias("__lines_near")).withColumnRenamed("ih", "__lines_ih")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    joined = docs.withColumn("_key", _ih(id_col, text_col)).join(near(cut(going)), F.col("_key") == F.col("_ih"), "left")
-    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_going")
-    kept = F.when(F.col("_going").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda at: F.get(lines, at)), "\n"))
-    counted = joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce(F.size("_going"), F.lit(0)).cast("long"), "n_near": F.coalesce("_near", F.lit(0)).cast("long")})
-    return counted.withColumn(text_col, kept).drop("_key", "_ih", "_going", "_near")
+    joined = docs.withColumn("__lines_key", _ih(id_col, text_col)).join(going, F.col("__lines_key") == F.col("__lines_ih"), "left")
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__lines_going")
+    kept = F.when(F.col("__lines_going").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda at: F.get(lines, at)), "\n"))
+    counted = joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce(F.size("__lines_going"), F.lit(0)).cast("long"), "n_near": F.coalesce("__lines_near", F.lit(0)).cast("long")})
+    return counted.withColumn(text_col, kept).drop("__lines_key", "__lines_ih", "__lines_going", "__lines_near")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """SimHash near-dedup with BK-trees.
 
 Texts with one fingerprint are one node.  Two fingerprints within RADIUS bits
-agree in at least two of BANDS bands of bits, so each node goes to the shards of
-all pairs of bands, where a BK-tree is built: children are keyed by their Hamming
+agree in at least BANDS - RADIUS of BANDS bands of bits, so each node goes to the shards
+of all such sets of bands, where a BK-tree is built: children are keyed by their Hamming
 distance to the parent, and a query follows only edges within the radius of its
 own distance.  A shard of more than TREE nodes is dealt into blocks, and each pair
 of blocks is a task of its own: a tree from the one, queries from the other.  Trees
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from stratapanel.llm.common import cut, doc_key, documents, near
 
 #: Differing bits of a link; bands (64 bits as evenly as may be); nodes of a tree.
-RADIUS, BANDS, TREE = 4, 6, 1024
+#: A shard's key has some 27 bits, so that chance meetings stay few up to billions of nodes.
+RADIUS, BANDS, TREE = 4, 7, 1024
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
 
@@ -215,12 +216,12 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = RADIUS, bands: in
     """
     found = cut(near_duplicates(docs, words, radius, bands, id_col, text_col))
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("f"))
-    first = first.select("component", F.col("f.doc_id").alias("_id"), F.col("f.th").alias("_th"))
-    again = found.groupBy("doc_id", "th").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("doc_id").alias("i"), F.col("th").alias("h"), F.lit(True).alias("_again"))
-    first = first.join(again, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_th") == F.col("h")), "left").select("_id", "_th", "_again")
-    rows = docs.join(near(cut(first)), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_th")))
-    alike = rows.where("_again").dropDuplicates(["_id", "_th"])
-    return rows.where("_again is null").unionByName(alike).drop("_id", "_th", "_again")
+    first = first.select("component", F.col("f.doc_id").alias("__near_id"), F.col("f.th").alias("__near_th"))
+    again = found.groupBy("doc_id", "th").agg(F.count("*").alias("__near_c")).where("__near_c > 1").select(F.col("doc_id").alias("i"), F.col("th").alias("h"), F.lit(True).alias("__near_again"))
+    first = first.join(again, F.col("__near_id").eqNullSafe(F.col("i")) & (F.col("__near_th") == F.col("h")), "left").select("__near_id", "__near_th", "__near_again")
+    rows = docs.join(near(cut(first)), F.col(id_col).eqNullSafe(F.col("__near_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__near_th")))
+    alike = rows.where("__near_again").dropDuplicates(["__near_id", "__near_th"])
+    return rows.where("__near_again is null").unionByName(alike).drop("__near_id", "__near_th", "__near_again")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,11 @@ windows with one anchor form a run, the same in every copy of the text around it
    suffix order; the previous and the next smaller position in that order give each
    window's longest previous factor.  If it has the full length, the window is a
    later copy of the earlier one found.
-3. A group with more than GROUP different runs isn't given to one task: its windows
-   are shuffled by content, where the least position is the earlier copy.
+3. A group with more than GROUP different runs isn't given to one task.  The text after
+   the anchors, and the reversed text before them, are sorted over all tasks; what a
+   run shares with its neighbours in the two orders bounds the windows that can be
+   repeated.  Runs cut to these bounds mostly are equal, as in 1; the windows of those
+   that aren't are shuffled by content, where the least position is the earlier copy.
 
 Texts travel compressed, and only by key: to cut out the runs of step 2, and to
 remove the spans found.
@@ -32,7 +35,9 @@ from stratapanel.llm.common import cut, doc_key, documents
 #: Bytes of a repeated string; of an anchor (a power of two).
 MIN_BYTES, GRAM = 400, 64
 #: Different runs of a group for one task; bytes of text in one suffix order; windows hashed at a time.
-GROUP, BLOCK, SEGMENT = 512, 1 << 20, 1 << 17
+GROUP, BLOCK, SEGMENT = 64, 1 << 20, 1 << 17
+#: A length that bounds nothing.
+NO_BOUND = 1 << 30
 
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) | np.uint64(1)
 
@@ -81,6 +86,20 @@ def runs(data: bytes, size: int = MIN_BYTES) -> tuple[np.ndarray, np.ndarray, np
     return start, np.diff(np.concatenate((start, [n]))), value, double
 
 
+def _anchor_place(data: bytes, anchor: int) -> int:
+    """Where the anchor of a run first stands in its text."""
+    h, _ = _anchors(np.frombuffer(data, np.uint8), max(GRAM, len(data)))
+    return int(np.flatnonzero(h.view(np.int64) == anchor)[0])
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
+
+
 def _ranks(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_inverse=True)[1].astype(np.uint64)
 
@@ -171,7 +190,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool
     groups = every.groupBy("m").agg(F.count("*").alias("size"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.max("twice").alias("twice")).where("size > 1 or twice")
     found = cut(every.join(groups.select("m", ((F.col("low") != F.col("high")) | F.col("twice")).alias("mixed")), "m"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "start")
-    classes = found.groupBy("m", "d1", "d2").agg(F.count("*").alias("c"), F.min(rank).alias("first"), F.first("n").alias("n"), F.first("mixed").alias("mixed"))
+    classes = found.groupBy("m", "d1", "d2").agg(F.count("*").alias("c"), F.min(rank).alias("first"), F.first("n").alias("n"), F.first("mixed").alias("mixed"), F.max("twice").alias("twice"))
     classes = cut(classes.where("c > 1 or mixed"))
     copies = found.join(classes.where("c > 1").select("m", "d1", "d2", "first"), ["m", "d1", "d2"])
     if keep_first:
@@ -179,40 +198,39 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool
     marked = copies.select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (min_bytes - 1)).alias("hi"))
 
     mixed = classes.where("mixed")
-    sizes = mixed.groupBy("m").agg(F.count("*").alias("g"))
-    wanted = mixed.join(sizes, "m").select("first.doc_id", "first.th", F.struct("first.start", "n", "m", (F.col("g") > group).alias("large")).alias("run"))
+    sizes = mixed.groupBy("m").agg(F.count("*").alias("g"), F.max("twice").alias("wild"))
+    # 0: one task takes the group; 1: it is too large; 2: and anchors don't line its runs up, as one stands twice
+    case = F.when(F.col("g") <= group, 0).when(~F.col("wild"), 1).otherwise(2)
+    wanted = mixed.join(sizes, "m").select("first.doc_id", "first.th", F.struct("first.start", "n", "m", case.alias("case")).alias("run"))
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs")).withColumnsRenamed({"doc_id": "w", "th": "wh"})
     texts = source.mapInArrow(_pack, f"{key}, data binary")
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w")) & (F.col("th") == F.col("wh"))).select("doc_id", "th", "data", "runs")
 
     def fetch(batches):
-        """Runs with their text, and windows of large groups with their digests."""
+        """The text of each wanted run."""
         for batch in batches:
             unpack = zstandard.ZstdDecompressor().decompress
+            take, rows = [], []
             for k, (packed, wants) in enumerate(zip(batch.column("data").to_pylist(), batch.column("runs").to_pylist())):
-                data, rows = unpack(packed), []
+                data = unpack(packed)
                 for r in wants:
-                    a, n = r["start"], r["n"]
-                    if r["large"]:
-                        rows += [(*np.frombuffer(xxhash.xxh3_128_digest(data[i : i + min_bytes]), np.int64).tolist(), i, None) for i in range(a, a + n)]
-                    else:
-                        rows.append((r["m"], 0, a, data[a : a + n + min_bytes - 1]))
-                take = pa.array([k] * len(rows), pa.int64())
-                kinds = [pa.int64()] * 3 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, kinds))], ["doc_id", "th", "shard", "more", "start", "data"])
+                    take.append(k)
+                    rows.append((r["m"], r["case"], r["start"], r["n"], data[r["start"] : r["start"] + r["n"] + min_bytes - 1]))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield _keyed(batch, take, rows, kinds, ["m", "case", "start", "n", "data"])
 
-    fetched = cut(texts.mapInArrow(fetch, f"{key}, shard long, more long, start long, data binary"))
+    fetched = cut(texts.mapInArrow(fetch, f"{key}, m long, case int, start long, n long, data binary"))
 
     def factor(batches):
-        """Spans of windows whose longest previous factor is full, and of their first copies."""
+        """Spans of windows whose longest previous factor is full, and of their first copies if these go too."""
         held, size = [], 0
 
         def emit(last: bool):
             nonlocal held, size
             table = pa.Table.from_batches(held)
-            shard = table.column("shard").to_numpy()
-            end = len(shard) if last else int(np.searchsorted(shard, shard[-1]))  # rows come sorted
-            held = table.slice(end).to_batches() if end < len(shard) else []
+            group_of = table.column("m").to_numpy()
+            end = len(group_of) if last else int(np.searchsorted(group_of, group_of[-1]))  # rows come sorted
+            held = table.slice(end).to_batches() if end < len(group_of) else []
             size = sum(len(x) for x in table.slice(end).column("data").to_pylist())
             table = table.slice(0, end)
             parts = table.column("data").to_pylist()
@@ -246,14 +264,103 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool
         if held:
             yield emit(True)
 
-    small = fetched.where("data is not null").repartition("shard").sortWithinPartitions("shard", F.col("doc_id").isNull(), "doc_id", "th", "start")
+    small = fetched.where("case = 0").repartition("m").sortWithinPartitions("m", F.col("doc_id").isNull(), "doc_id", "th", "start")
     marked = marked.unionByName(small.mapInArrow(factor, f"{key}, lo long, hi long"))
-    large = fetched.where("data is null").drop("data")
-    least = large.groupBy("shard", "more").agg(F.count("*").alias("c"), F.min(rank).alias("first")).where("c > 1")
-    large = large.join(least, ["shard", "more"])
+    return marked.unionByName(_large_groups(fetched.where("case > 0"), key, min_bytes, keep_first))
+
+
+def _keyed(batch: pa.RecordBatch, take: list[int], rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
+    """Rows of values, each with doc_id and th of the row of ``batch`` that it comes from."""
+    at = pa.array(take, pa.int64())
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "th", *names])
+
+
+def _large_groups(large: DataFrame, key: str, min_bytes: int, keep_first: bool) -> DataFrame:
+    """Spans of the runs (doc_id, th, m, case, start, n, data) of groups that are too large for a task."""
+    own = [c.split()[0] for c in key.split(", ")] + ["start"]
+    alike = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th")) & (F.col(f"{a}.start") == F.col(f"{b}.start"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "start")
+
+    def contexts(batches):
+        for batch in batches:
+            take, rows = [], []
+            for k, (m, start, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("m", "start", "data")))):
+                p = _anchor_place(data, m)
+                take += [k, k]
+                rows += [(m, start, p, 0, data[:p][::-1]), (m, start, p, 1, data[p : p + min_bytes])]
+            yield _keyed(batch, take, rows, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], ["m", "start", "place", "side", "context"])
+
+    def neighbours(batches):
+        """What each row shares with the one before or after; unknown, so without bound, at the ends of a task."""
+        before, names = None, ["start", "place", "side", "shared"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("m", "side", "context", "start", "place")]
+            ids = [batch.column(c).to_pylist() for c in ("doc_id", "th")]
+            held = []
+            for k, (m, side, context, start, place) in enumerate(zip(*columns)):
+                own_best = NO_BOUND if before is None else 0
+                if before is not None:
+                    common = _shared(before[2], context) if before[:2] == (m, side) else 0
+                    held.append((*before[3], max(before[4], common)))
+                    own_best = common
+                before = (m, side, context, (ids[0][k], ids[1][k], start, place, side), own_best)
+            if held:
+                yield _plain(held, batch.schema, kinds, names)
+        if before is not None:
+            yield _plain([(*before[3], NO_BOUND)], batch.schema, kinds, names)
+
+    order = ["m", "side", "context", *own]
+    sides = large.where("case = 1").mapInArrow(contexts, f"{key}, m long, start long, place int, side int, context binary")
+    shared = sides.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(neighbours, f"{key}, start long, place int, side int, shared int")
+    bounds = shared.groupBy(*own).agg(F.max("place").alias("place"), F.max(F.when(F.col("side") == 0, F.col("shared"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("shared"))).alias("right"))
+    bounded = large.alias("a").join(bounds.alias("b"), alike("a", "b"), "left").select("a.*", "place", "left", "right")
+
+    def trim(batches):
+        for batch in batches:
+            take, rows = [], []
+            for k, (m, case, start, n, data, place, left, right) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("m", "case", "start", "n", "data", "place", "left", "right")))):
+                lo, hi = 0, n
+                if place is not None:  # a window with the anchor at offset o needs o bytes before it and the rest from it on
+                    lo, hi = max(0, place - left), min(n, place + right - min_bytes + 1)
+                if lo < hi:
+                    part = data[lo : hi + min_bytes - 1]
+                    take.append(k)
+                    rows.append((m, case, start + lo, hi - lo, *np.frombuffer(xxhash.xxh3_128_digest(part), np.int64).tolist(), part))
+            yield _keyed(batch, take, rows, [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary()], ["m", "case", "start", "n", "d1", "d2", "data"])
+
+    trimmed = cut(bounded.mapInArrow(trim, f"{key}, m long, case int, start long, n long, d1 long, d2 long, data binary"))
+    kinds_ = trimmed.groupBy("m", "d1", "d2").agg(F.count("*").alias("c"), F.min(rank).alias("first"), F.max("case").alias("kind"))
+    ranked = trimmed.join(kinds_, ["m", "d1", "d2"])
+    equal = ranked.where("c > 1")
     if keep_first:
-        large = large.where(rank != F.col("first"))
-    return marked.unionByName(large.select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + min_bytes).alias("hi")))
+        equal = equal.where(rank != F.col("first"))
+    spans = equal.select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (min_bytes - 1)).alias("hi"))
+    # Where all runs have an equal one, only the question which window is the earliest may be open.
+    open_ = kinds_.groupBy("m").agg(F.count("*").alias("kinds"), F.min("c").alias("c"), F.max("kind").alias("kind"))
+    open_ = open_.where("kinds > 1 or kind = 2" if keep_first else "c = 1 or kind = 2").select("m")
+    single = ranked.where(rank == F.col("first")).join(open_, "m", "left_semi")
+
+    def windows(batches):
+        for batch in batches:
+            take, rows = [], []
+            for k, (start, n, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "n", "data")))):
+                take += [k] * n
+                rows += [(*np.frombuffer(xxhash.xxh3_128_digest(data[i : i + min_bytes]), np.int64).tolist(), start + i) for i in range(n)]
+            yield _keyed(batch, take, rows, [pa.int64()] * 3, ["w1", "w2", "start"])
+
+    each = cut(single.mapInArrow(windows, f"{key}, w1 long, w2 long, start long"))
+    least = each.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(rank).alias("first")).where("c > 1")
+    again = each.join(least, ["w1", "w2"])
+    if keep_first:
+        again = again.where(rank != F.col("first"))
+    return spans.unionByName(again.select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + min_bytes).alias("hi")))
+
+
+def _plain(rows: list[tuple], schema: pa.Schema, kinds: list, names: list[str]) -> pa.RecordBatch:
+    kinds = [schema.field("doc_id").type, schema.field("th").type, *kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "th", *names])
 
 
 def _pack(batches):
