@@ -14,8 +14,10 @@ windows with one anchor form a run, the same in every copy of the text around it
 3. A group with more than GROUP different runs isn't given to one task.  The text after
    the anchors, and the reversed text before them, are sorted over all tasks; what a
    run shares with its neighbours in the two orders bounds the windows that can be
-   repeated.  Runs cut to these bounds mostly are equal, as in 1; the windows of those
-   that aren't are shuffled by content, where the least position is the earlier copy.
+   repeated.  Runs cut to these bounds mostly are equal, as in 1.  Those that aren't
+   are cut into blocks of 64 windows, then 8, then 1, aligned at the anchor.  Blocks
+   meet by content, where the least position is the earlier copy, and one block of
+   each content is cut on.
 
 Texts travel compressed, and only by key: to cut out the runs of step 2, and to
 remove the spans found.
@@ -36,6 +38,8 @@ from stratapanel.llm.common import cut, doc_key, documents
 MIN_BYTES, GRAM = 400, 64
 #: Different runs of a group for one task; bytes of text in one suffix order; windows hashed at a time.
 GROUP, BLOCK, SEGMENT = 64, 1 << 20, 1 << 17
+#: Windows of the blocks that the runs of larger groups are cut into.
+WIDTHS = (64, 8, 1)
 #: A length that bounds nothing.
 NO_BOUND = 1 << 30
 
@@ -327,10 +331,10 @@ def _large_groups(large: DataFrame, key: str, min_bytes: int, keep_first: bool)
                 if lo < hi:
                     part = data[lo : hi + min_bytes - 1]
                     take.append(k)
-                    rows.append((m, case, start + lo, hi - lo, *np.frombuffer(xxhash.xxh3_128_digest(part), np.int64).tolist(), part))
-            yield _keyed(batch, take, rows, [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary()], ["m", "case", "start", "n", "d1", "d2", "data"])
+                    rows.append((m, case, start + (place or 0), start + lo, hi - lo, *np.frombuffer(xxhash.xxh3_128_digest(part), np.int64).tolist(), part))
+            yield _keyed(batch, take, rows, [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()], ["m", "case", "at", "start", "n", "d1", "d2", "data"])
 
-    trimmed = cut(bounded.mapInArrow(trim, f"{key}, m long, case int, start long, n long, d1 long, d2 long, data binary"))
+    trimmed = cut(bounded.mapInArrow(trim, f"{key}, m long, case int, at long, start long, n long, d1 long, d2 long, data binary"))
     kinds_ = trimmed.groupBy("m", "d1", "d2").agg(F.count("*").alias("c"), F.min(rank).alias("first"), F.max("case").alias("kind"))
     ranked = trimmed.join(kinds_, ["m", "d1", "d2"])
     equal = ranked.where("c > 1")
@@ -342,20 +346,35 @@ def _large_groups(large: DataFrame, key: str, min_bytes: int, keep_first: bool)
     open_ = open_.where("kinds > 1 or kind = 2" if keep_first else "c = 1 or kind = 2").select("m")
     single = ranked.where(rank == F.col("first")).join(open_, "m", "left_semi")
 
-    def windows(batches):
-        for batch in batches:
-            take, rows = [], []
-            for k, (start, n, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "n", "data")))):
-                take += [k] * n
-                rows += [(*np.frombuffer(xxhash.xxh3_128_digest(data[i : i + min_bytes]), np.int64).tolist(), start + i) for i in range(n)]
-            yield _keyed(batch, take, rows, [pa.int64()] * 3, ["w1", "w2", "start"])
-
-    each = cut(single.mapInArrow(windows, f"{key}, w1 long, w2 long, start long"))
-    least = each.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(rank).alias("first")).where("c > 1")
-    again = each.join(least, ["w1", "w2"])
-    if keep_first:
-        again = again.where(rank != F.col("first"))
-    return spans.unionByName(again.select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + min_bytes).alias("hi")))
+    def blocks(width: int):
+        def cut_up(batches):
+            """Blocks of ``width`` windows with their digests; what is left at the ends has none."""
+            for batch in batches:
+                take, rows = [], []
+                for k, (at, start, n, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "start", "n", "data")))):
+                    bounds = [start, *range(start + (at - start) % width, start + n, width), start + n]
+                    for lo, hi in zip(bounds, bounds[1:]):
+                        if lo < hi:
+                            part = data[lo - start : hi - start + min_bytes - 1]
+                            digest = np.frombuffer(xxhash.xxh3_128_digest(part), np.int64).tolist() if hi - lo == width else (None, None)
+                            take.append(k)
+                            rows.append((at, lo, hi - lo, *digest, part if width > 1 else None))
+                yield _keyed(batch, take, rows, [*[pa.int64()] * 5, pa.binary()], ["at", "start", "n", "d1", "d2", "data"])
+
+        return cut_up
+
+    rest = single.select(*own, "at", "n", "data")
+    for width in WIDTHS:
+        parts = cut(rest.mapInArrow(blocks(width), f"{key}, at long, start long, n long, d1 long, d2 long, data binary"))
+        least = parts.where("d1 is not null").groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(rank).alias("first"))
+        if width == 1:
+            met = parts.join(least.where("c > 1"), ["d1", "d2"])
+        else:
+            met = cut(parts.join(least, ["d1", "d2"]))
+            rest = met.where(rank == F.col("first")).select(rest.columns).unionByName(parts.where("d1 is null").select(rest.columns))
+        again = met.where((F.col("c") > 1) & (rank != F.col("first")) if keep_first else F.col("c") > 1)
+        spans = spans.unionByName(again.select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (min_bytes - 1)).alias("hi")))
+    return spans
 
 
 def _plain(rows: list[tuple], schema: pa.Schema, kinds: list, names: list[str]) -> pa.RecordBatch:
