@@ -63,9 +63,11 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     parts = slim.where("halves is not null").select("doc_id", "ih", "line_no", "k1", "k2", F.explode("halves").alias("half"))
     shared = parts.groupBy("half").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("half")
     likely = parts.join(near(cut(shared)), "half").groupBy("k1", "k2").agg(F.min(order).alias("o"), F.max(F.col("half") % 2 == 0).alias("tail_differs"), F.max(F.col("half") % 2 != 0).alias("head_differs"))
-    likely = cut(likely.select("o", "tail_differs", "head_differs", F.col("o.ih").alias("ih"), F.col("o.line_no").alias("line_no")))
-    lines = _lines(docs, id_col, text_col).select("ih", "line_no", "line").join(near(likely), ["ih", "line_no"]).select("o", "tail_differs", "head_differs", _words("line").alias("words"))
-    lines = cut(lines.sort("o").withColumn("uid", F.monotonically_increasing_id()))  # uid in order of first places
+    numbered = likely.sort("o").withColumn("uid", F.monotonically_increasing_id())  # uid in order of first places
+    likely = cut(numbered.select("uid", "tail_differs", "head_differs", F.col("o.ih").alias("ih"), F.col("o.line_no").alias("line_no")))
+    # Rows alike in id and text hold the same line at the same place; it must have its uid once only.
+    lines = _lines(docs, id_col, text_col).select("ih", "line_no", "line").join(near(likely), ["ih", "line_no"]).distinct()
+    lines = cut(lines.withColumn("words", _words("line")).drop("line"))
 
     # Hashes of all deletion variants of a line in one pass over its words: the XOR of
     # (word, place), where the words behind the deleted one move up by a place.
@@ -94,7 +96,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     found = keyed.join(near(groups), "key")
     other = F.when(role == REPLACED, F.col("replaced")).when(role == LONGER, F.col("shorter")).otherwise(F.col("longer"))
     pairs = found.withColumn("other", other).select("role", F.col("uid").alias("a"), F.col("i").alias("ai"), F.col("other.uid").alias("b"), F.col("other.i").alias("bi")).where("b < a")
-    mine = lines.select(F.col("uid").alias("a"), F.col("words").alias("mine"), "o.ih", "o.line_no")
+    mine = lines.select(F.col("uid").alias("a"), F.col("words").alias("mine"), "ih", "line_no")
     theirs = lines.select(F.col("uid").alias("b"), F.col("words").alias("theirs"))
     pairs = pairs.join(mine, "a").join(theirs, "b")
     cut_mine = F.when(role == SHORTER, F.col("mine")).otherwise(_without(F.col("mine"), F.col("ai")))

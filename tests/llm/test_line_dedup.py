@@ -83,3 +83,13 @@ def test_long_lines(spark):
     rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(changed[:5] + changed[6:]))]
     got = {r["doc_id"]: r["n_near"] for r in m.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 1, 3: 1}
+
+
+def test_repeated_rows_keep_first_copy(spark):
+    line = " ".join(f"w{i}" for i in range(10))
+    half = " ".join([f"w{i}" for i in range(5)] + [f"v{i}" for i in range(5)])  # shares a half, not near
+    close = " ".join([f"w{i}" for i in range(9)] + ["other"])
+    rows = [(1, line), (1, line), (2, half), (3, close), (None, half + " x y z"), (None, half + " x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["n_near"]) for r in m.line_dedup(docs).collect()))
+    assert got == [(False, 1, line, 0)] * 2 + [(False, 2, half, 0), (False, 3, "", 1)] + [(True, 0, half + " x y z", 0)] * 2
