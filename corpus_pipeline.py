@@ -16,6 +16,8 @@ from stratapanel.llm.common import cut, documents
 MIN_SCORE = 0.3
 #: Five-word shingles; five bits of a fingerprint, found in shards by three of eight bands.
 SHINGLE, RADIUS, BANDS = 5, 5, 8
+#: Jaccard similarity of shingle sets from which texts are near copies.
+SIMILAR = 0.8
 
 
 def _columns(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
-    return _columns(docs, simhash.one_of_each(docs, SHINGLE, RADIUS, BANDS))
+    return _columns(docs, simhash.one_of_similar(docs, SHINGLE, SIMILAR))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

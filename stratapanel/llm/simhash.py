@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import cut, doc_key, documents, near
+from stratapanel.llm.common import NEAR_ROWS, cut, doc_key, documents, near
 
 #: Differing bits of a link; bands (64 bits as evenly as may be); nodes of a tree.
 #: A shard's key has some 27 bits, so that chance meetings stay few up to billions of nodes.
@@ -214,7 +214,10 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = RADIUS, bands: in
 
     First is the smallest id (null last), then text digest; of rows alike in both one stays.
     """
-    found = cut(near_duplicates(docs, words, radius, bands, id_col, text_col))
+    return _first_of_each(docs, cut(near_duplicates(docs, words, radius, bands, id_col, text_col)), id_col, text_col)
+
+
+def _first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("f"))
     first = first.select("component", F.col("f.doc_id").alias("__near_id"), F.col("f.th").alias("__near_th"))
     again = found.groupBy("doc_id", "th").agg(F.count("*").alias("__near_c")).where("__near_c > 1").select(F.col("doc_id").alias("i"), F.col("th").alias("h"), F.lit(True).alias("__near_again"))
@@ -224,6 +227,157 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = RADIUS, bands: in
     return rows.where("__near_again is null").unionByName(alike).drop("__near_id", "__near_th", "__near_again")
 
 
+#: Near copies by similarity: fingerprints of a text, bits of all of them that a pair to be
+#: verified may differ in (a pair at 0.8 differs in about 15 %, unrelated texts in half), nodes of a block.
+SEEDS, REACH, BLOCK = 8, 0.25, 256
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct XXH64 (seed 42) of all word shingles; nothing without words."""
+    tokens = (text or "").encode().lower().split()
+    size = min(words, len(tokens))
+    if not size:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(tokens[i : i + size]), 42) for i in range(len(tokens) - size + 1)), np.uint64, len(tokens) - size + 1))
+
+
+def seeded(found: np.ndarray, seeds: int) -> np.ndarray:
+    """A SimHash of a set of shingles for each seed."""
+    out = np.zeros(seeds, np.uint64)
+    for k in range(seeds if len(found) else 0):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(found), CHUNK):
+            h = found[at : at + CHUNK] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(ones * 2 > len(found), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def sketches(docs: DataFrame, words: int, seeds: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, sh, fps) for each row; sh is a digest of its set of shingles, fps its fingerprints."""
+    picked = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "text")
+
+    def make(batches):
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            sh = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            fps = pa.array([seeded(x, seeds).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            rest = [i for i, n in enumerate(batch.schema.names) if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(sh), fps], [*(batch.schema.names[i] for i in rest), "sh", "fps"])
+
+    return picked.mapInArrow(make, schema + ", sh long, fps array<long>")
+
+
+def _by_task(batches, least: int):
+    """Tables of whole tasks, of ``least`` rows or more but for the last; rows come sorted by task."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= least:
+            table = pa.Table.from_batches(held)
+            task = table.column("task").to_numpy()
+            end = int(np.searchsorted(task, task[-1]))
+            held = table.slice(end).to_batches()
+            if end:
+                yield table.slice(0, end)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _blocks(members: DataFrame, block: int, *keep: str) -> DataFrame:
+    """(task, asks, sh, keep): rows of each (key, n) dealt into pairs of blocks, sorted by task."""
+    members = members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("sh"), F.col("blocks")).cast("int"))
+    turns = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j"), F.when(other == F.col("mine"), 1).when(other > F.col("mine"), 0).otherwise(2).cast("byte").alias("asks")))
+    tasks = members.select("sh", *keep, "key", F.explode(turns).alias("turn")).select(F.xxhash64("key", "turn.i", "turn.j").alias("task"), "turn.asks", "sh", *keep)
+    return tasks.repartition("task").sortWithinPartitions("task")
+
+
+def candidates(nodes: DataFrame, seeds: int, tree: int = TREE) -> DataFrame:
+    """(a, b): links that connect all nodes (sh, fps) which share a shard of any seed and differ in few bits of all fingerprints."""
+    cuts = [round(64 * i / BANDS) for i in range(BANDS + 1)]
+    chosen = np.array([sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in c) for c in combinations(range(BANDS), BANDS - RADIUS)], np.uint64)
+    signed = chosen.view(np.int64).tolist()
+    each = nodes.select("sh", F.posexplode("fps").alias("seed", "fp"))
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("seed"), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)))
+    placed = each.select("sh", "seed", F.explode(keys).alias("key"))
+    shards = cut(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    slim = placed.join(near(shards, 4 * NEAR_ROWS), "key")
+    most = int(64 * seeds * REACH)
+
+    def find(batches):
+        for table in _by_task(batches, 16 * tree):
+            task, asks, sh, seed = (table.column(c).to_numpy() for c in ("task", "asks", "sh", "seed"))
+            bits = table.column("fps").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, seeds)
+            a, b = tree_links(task, bits[np.arange(len(task)), seed], asks, 16)
+            far = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+            on = (far <= most) & (sh[a] != sh[b])
+            a, b = forest(sh[a[on]], sh[b[on]])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return _blocks(slim.join(nodes.select("sh", "fps"), "sh"), tree, "seed", "fps").mapInArrow(find, "a long, b long")
+
+
+def verified(members: DataFrame, words: int, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that connect all pairs of rows (key, n, sh, text) of one key whose shingle sets have a Jaccard similarity of ``least``."""
+
+    def find(batches):
+        for table in _by_task(batches, 1):
+            task, asks, sh = (table.column(c).to_numpy() for c in ("task", "asks", "sh"))
+            texts = table.column("text")
+            a: list[int] = []
+            b: list[int] = []
+            for rows in np.split(np.arange(len(task)), np.flatnonzero(np.diff(task)) + 1):
+                sets = [set(shingles(texts[int(i)].as_py(), words).tolist()) for i in rows]
+                label = list(range(len(rows)))
+                groups = [[k] for k in label]
+                for x in np.flatnonzero(asks[rows] > 0).tolist():
+                    for y in np.flatnonzero(asks[rows] < 2).tolist():
+                        small, large = sorted((len(sets[x]), len(sets[y])))
+                        if label[x] == label[y] or small < least * large:
+                            continue
+                        both = len(sets[x] & sets[y])
+                        if both >= least * (small + large - both):
+                            old, new = sorted((label[x], label[y]), key=lambda k: len(groups[k]))
+                            for k in groups[old]:
+                                label[k] = new
+                            groups[new] += groups[old]
+                            a.append(sh[rows[x]])
+                            b.append(sh[rows[y]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _blocks(members, block, "text").mapInArrow(find, "a long, b long")
+
+
+def similar(docs: DataFrame, words: int, least: float, seeds: int = SEEDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each input row: doc_id, th (digest of the text), component.
+
+    Texts with equal sets of shingles are linked, and candidates of any seed whose sets
+    have a Jaccard similarity of ``least``.  No pair below it is linked directly.
+    """
+    marked = cut(sketches(docs, words, seeds, id_col, text_col))
+    nodes = cut(marked.groupBy("sh").agg(F.min("fps").alias("fps"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("f")))
+    loose = cut(components(candidates(nodes, seeds)).withColumnsRenamed({"node": "sh", "component": "key"}))
+    sizes = loose.groupBy("key").agg(F.count("*").alias("n"))
+    first = cut(loose.join(sizes, "key").join(nodes, "sh").select("sh", "key", "n", F.col("f.doc_id").alias("i"), F.col("f.th").alias("h")))
+    texts = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("text"))
+    members = texts.join(near(first), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("sh", "key", "n", "text").distinct()
+    parts = components(verified(members, words, least)).withColumnRenamed("node", "sh")
+    return marked.join(parts, "sh", "left").select("doc_id", "th", F.coalesce("component", "sh").alias("component"))
+
+
+def one_of_similar(docs: DataFrame, words: int = 5, least: float = 0.8, seeds: int = SEEDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns kept, that come first in their component of ``similar``.
+
+    First is the smallest id (null last), then text digest; of rows alike in both one stays.
+    """
+    return _first_of_each(docs, cut(similar(docs, words, least, seeds, id_col, text_col)), id_col, text_col)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

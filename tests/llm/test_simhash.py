@@ -98,3 +98,36 @@ def test_edge_cases(spark, edge, empty):
     one = m.one_of_each(edge, 4)
     assert one.columns == edge.columns and one.count() == len(set(groups))
     assert m.one_of_each(empty).collect() == []
+
+
+def test_similar_texts_are_verified(spark):
+    rng, rows, groups = random.Random(5), [], []
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    shingled = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    for g in range(40):
+        base = [word() for _ in range(120)]
+        near, far = list(base), list(base)
+        near[30] = near[80] = word()
+        for i in range(5, 120, 15):
+            far[i] = word()
+        for kind, t in (("base", base), ("near", near), ("far", far)):
+            similarity = len(shingled(base) & shingled(t)) / len(shingled(base) | shingled(t))
+            assert similarity >= 0.8 if kind != "far" else similarity < 0.8
+            rows.append((len(rows), " ".join(t)))
+            groups.append((g, kind))
+    rows += [(None, rows[0][1].upper()), (None, rows[0][1].upper()), (500, None), (501, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in m.one_of_similar(docs).collect()}
+    assert {i for i, (_, kind) in enumerate(groups) if kind != "near"} | {500} <= kept  # nothing below 0.8 goes
+    assert None not in kept and 501 not in kept and sum(i < 120 for i in kept) <= 80 + 4  # of 40 near copies 36 or more go
+    fps = [fingerprint(t, 5) for _, t in rows[:120]]
+    assert sum((fps[i] ^ fps[i + 1]).bit_count() <= 5 for i in range(0, 120, 3)) < 36  # what one fingerprint finds
+
+
+def test_similar_large_group_in_blocks(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, i, 60, " ".join([*base[:50], f"x{i}", *base[51:]])) for i in range(59)] + [(0, 99, 60, "another text")]
+    members = spark.createDataFrame(rows, "key long, sh long, n long, text string").repartition(3)
+    edges = m.verified(members, 5, 0.8, block=8)
+    got = {r["node"]: r["component"] for r in m.components(edges).collect()}
+    assert got == dict.fromkeys(range(59), 0)
