@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from stratapanel.llm import language, line_dedup, mixing, packing, simhash
 from stratapanel.llm.common import cut, documents
 
-#: A language must win at least this part of all hits; unrelated text shares them out evenly.
-MIN_SCORE = 0.3
+#: Part of a text's n-grams that its language must hold: whatever the second holds, or with a lead over it.
+#: None of this depends on the number of languages.  Texts of fewer n-grams (some 100 characters) aren't judged.
+PLAIN_RATE, MIN_RATE, MIN_LEAD, MIN_GRAMS = 0.5, 0.25, 0.1, 200
 #: Five-word shingles; five bits of a fingerprint, found in shards by three of eight bands.
 SHINGLE, RADIUS, BANDS = 5, 5, 8
 #: Jaccard similarity of shingle sets from which texts are near copies.
@@ -25,11 +26,18 @@ def _columns(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and texts of no learned language; fills in missing languages."""
+    """Drops texts without letters and texts of no learned language; fills in missing languages.
+
+    Texts too short to judge stay, and all texts with letters where no language is learned.
+    """
     filters = language.fit(language.training(docs))
     keep = tuple(c for c in docs.columns if c != "doc_id")
-    found = language.identify(docs, filters, keep=keep).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    return _columns(docs, found.withColumn("lang", F.coalesce("lang", "lang_pred")))
+    if not filters.languages:
+        return docs.where(F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    found = language.identify(docs, filters, keep=keep, evidence=True).where(F.col("lang_pred") != language.UNKNOWN)
+    spoken = (F.col("rate") >= PLAIN_RATE) | ((F.col("rate") >= MIN_RATE) & (F.col("lead") >= MIN_LEAD))
+    found = found.where(spoken | (F.col("grams") < MIN_GRAMS))
+    return _columns(docs, found.withColumn("lang", F.coalesce("lang", F.when(F.col("rate") > 0, F.col("lang_pred")))))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,15 +138,23 @@ class Filters:
         return hits, total
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Language and score, then the winner's corrected hits and its lead over the second, both by n-gram, and n-grams."""
+        none = np.zeros(len(texts))
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), none, none, none, none
         hits, total = self.counts(texts)
         real = np.maximum(hits - total[:, None] * self.false, 0) / (1 - self.false)
         best = real.argmax(axis=1)
         top, every = real.max(axis=1, initial=0), real.sum(axis=1)
+        second = np.sort(real, axis=1)[:, -2] if len(self.languages) > 1 else none
         score = np.where(every > 0, top / np.where(every > 0, every, 1), 0.0)
         lettered = np.fromiter(map(has_letters, texts), bool, len(texts))
-        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered)], np.where(lettered, score, 0.0)
+        names = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered)]
+        most = np.maximum(total, 1)
+        return names, np.where(lettered, score, 0.0), top / most, (top - second) / most, total
 
 
 def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Filters:
@@ -180,8 +188,8 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Filters:
     return Filters(languages, {x: kept.loc[kept["lang"] == x, "gram"].to_numpy(np.int64).view(np.uint64) for x in languages})
 
 
-def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each input row: doc_id, the columns in ``keep``, lang_pred, score.
+def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), evidence: bool = False) -> DataFrame:
+    """One row for each input row: doc_id, the columns in ``keep``, lang_pred, score; with ``evidence`` also rate, lead, grams.
 
     A null, empty or letterless text is ``und`` with score 0.  The score is the
     winner's part of all corrected counts; of equal counts the first language by
@@ -190,16 +198,18 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     that aren't named are not carried.
     """
     held = filters
+    names = ["lang_pred", "score", *(("rate", "lead", "grams") if evidence else ())]
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "_t")
 
     def predict(batches):
         for batch in batches:
             rest = [i for i, n in enumerate(batch.schema.names) if n != "_t"]
-            langs, score = held.predict([t or "" for t in batch.column("_t").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(langs, pa.string()), pa.array(score)], [*(batch.schema.names[i] for i in rest), "lang_pred", "score"])
+            langs, *figures = held.judge([t or "" for t in batch.column("_t").to_pylist()])
+            found = [pa.array(langs, pa.string()), *map(pa.array, figures)][: len(names)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *found], [*(batch.schema.names[i] for i in rest), *names])
 
-    return picked.mapInArrow(predict, schema + ", lang_pred string, score double")
+    return picked.mapInArrow(predict, schema + ", lang_pred string" + "".join(f", {n} double" for n in names[1:]))
 
 
 def split_off(docs: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +52,29 @@ def test_edge_cases(spark, edge, empty):
             out.count()
     rejected = c.identify_language(spark, docs, "")
     assert {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in rejected.collect()} == {4, 5, 6, 7}
+
+
+def speech(seed, vocabulary, words=150):
+    return " ".join(random.Random(seed).choices(vocabulary, k=words))
+
+
+@pytest.mark.parametrize("languages", [2, 6])
+def test_language_evidence_whatever_the_number(spark, languages):
+    rng = random.Random(0)
+    word = lambda letters: "".join(rng.choices(letters, k=6))
+    common = [word("abcdefghijklm") for _ in range(60)]  # related languages: most words are shared
+    rows = []
+    for k in range(languages):
+        own = common + [word("abcdefghijklm") for _ in range(10)]
+        rows += [(100 * k + i, speech(100 * k + i, own), f"l{k}") for i in range(30)]
+    noise = speech(1, [word("nopqrstuvwxyz") for _ in range(140)] + common[:8])  # some hits, no language
+    rows += [(9001, noise, None), (9002, "tiny zzz", None), (9003, "123", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"] for r in c.identify_language(spark, docs, "").collect()}
+    assert got == {r[0] for r in rows} - {9001, 9003}
+
+
+def test_no_labels_at_all(spark):
+    rows = [(1, "some words", None), (2, "andere Wörter", None), (3, "12 !", None), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r["doc_id"], r["lang"]) for r in c.identify_language(spark, docs, "").collect()} == {(1, None), (2, None)}
