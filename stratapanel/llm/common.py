@@ -49,13 +49,30 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-#: Rows of a few dozen bytes that are sent to all executors rather than shuffled.
-NEAR_ROWS = 250_000
+#: Rows of a few dozen bytes each that are sent to all executors rather than shuffled.
+FEW_ROWS = 10_000
 
 
-def near(small: DataFrame, rows: int = NEAR_ROWS) -> DataFrame:
+def near(small: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
     """``small`` marked for broadcast if a count shows that it is; else as it is, for a shuffled join.
 
-    ``small`` should be materialised, as it is counted here and read again by the join.
+    For tables with a row for each source or language only: what grows with the
+    documents is joined by ``meet``.  ``small`` should be materialised.
     """
     return F.broadcast(small) if small.count() <= rows else small
+
+
+def meet(rows: DataFrame, facts: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join of wide rows with narrow facts, at most a few for each row: both are shuffled by key, and only the facts are hashed.
+
+    So texts are neither sorted nor sent to all executors, whatever the size of either side.
+    """
+    return rows.join(facts.hint("shuffle_hash"), on, how)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver collect garbage, on which Spark drops shuffle files and checkpoints of plans that are gone.
+
+    Called after a cut, so that a step's files don't lie beside those of the next.
+    """
+    spark.sparkContext._jvm.System.gc()

@@ -14,7 +14,6 @@ FIT_DOCS labelled documents for each language.
 from __future__ import annotations
 
 import sys
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +34,14 @@ CHUNK = 1 << 19
 UNKNOWN = "und"
 
 
-@lru_cache(maxsize=1)
+#: Whether each code point is a letter, filled on first use: a plain list travels to executors by value.
+_LETTERS: list[np.ndarray] = []
+
+
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
+    if not _LETTERS:
+        _LETTERS.append(np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)]))
+    return _LETTERS[0]
 
 
 def has_letters(text: str) -> bool:
@@ -198,6 +202,7 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     that aren't named are not carried.
     """
     held = filters
+    _letters()  # filled here, it reaches the tasks ready
     names = ["lang_pred", "score", *(("rate", "lead", "grams") if evidence else ())]
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "_t")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import WORD, cut, documents, near
+from stratapanel.llm.common import WORD, cut, documents, meet, near
 
 #: A rank has LEVELS digits of BITS bits; rows that share all of them are sorted.
 BITS, LEVELS = 10, 2
@@ -130,9 +130,9 @@ def repeat(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col:
     """
     by = ["__mix_id", "__mix_th"]
     shares = mixed.groupBy(F.col("doc_id").alias("__mix_id"), F.col("th").alias("__mix_th")).agg(F.sum("copies").alias("__mix_n"), F.count("*").alias("__mix_c"))
-    shares = near(cut(shares.where("__mix_n > 0")))
+    shares = shares.where("__mix_n > 0")
     key = F.col(id_col).eqNullSafe(F.col("__mix_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__mix_th"))
-    rows = docs.join(shares, key)
+    rows = meet(docs, shares, key)
     alone = rows.where("__mix_c = 1").withColumn("__mix_k", F.explode(F.array_repeat(F.lit(0), F.col("__mix_n").cast("int"))))
     alike = rows.where("__mix_c > 1").dropDuplicates(by).withColumn("__mix_k", F.explode(F.array_repeat(F.lit(0), F.col("__mix_n").cast("int"))))
     return alone.unionByName(alike).drop(*by, "__mix_n", "__mix_c", "__mix_k")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import NEAR_ROWS, cut, doc_key, documents, near
+from stratapanel.llm.common import cut, doc_key, documents, meet, release
 
 #: Differing bits of a link; bands (64 bits as evenly as may be); nodes of a tree.
 #: A shard's key has some 27 bits, so that chance meetings stay few up to billions of nodes.
@@ -222,7 +222,7 @@ def _first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str
     first = first.select("component", F.col("f.doc_id").alias("__near_id"), F.col("f.th").alias("__near_th"))
     again = found.groupBy("doc_id", "th").agg(F.count("*").alias("__near_c")).where("__near_c > 1").select(F.col("doc_id").alias("i"), F.col("th").alias("h"), F.lit(True).alias("__near_again"))
     first = first.join(again, F.col("__near_id").eqNullSafe(F.col("i")) & (F.col("__near_th") == F.col("h")), "left").select("__near_id", "__near_th", "__near_again")
-    rows = docs.join(near(cut(first)), F.col(id_col).eqNullSafe(F.col("__near_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__near_th")))
+    rows = meet(docs, first, F.col(id_col).eqNullSafe(F.col("__near_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__near_th")))
     alike = rows.where("__near_again").dropDuplicates(["__near_id", "__near_th"])
     return rows.where("__near_again is null").unionByName(alike).drop("__near_id", "__near_th", "__near_again")
 
@@ -305,8 +305,8 @@ def candidates(nodes: DataFrame, seeds: int, tree: int = TREE) -> DataFrame:
     each = nodes.select("sh", F.posexplode("fps").alias("seed", "fp"))
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("seed"), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)))
     placed = each.select("sh", "seed", F.explode(keys).alias("key"))
-    shards = cut(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    slim = placed.join(near(shards, 4 * NEAR_ROWS), "key")
+    shards = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    slim = placed.join(shards, "key")
     most = int(64 * seeds * REACH)
 
     def find(batches):
@@ -365,8 +365,10 @@ def similar(docs: DataFrame, words: int, least: float, seeds: int = SEEDS, id_co
     sizes = loose.groupBy("key").agg(F.count("*").alias("n"))
     first = cut(loose.join(sizes, "key").join(nodes, "sh").select("sh", "key", "n", F.col("f.doc_id").alias("i"), F.col("f.th").alias("h")))
     texts = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("text"))
-    members = texts.join(near(first), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("sh", "key", "n", "text").distinct()
-    parts = components(verified(members, words, least)).withColumnRenamed("node", "sh")
+    members = meet(texts, first, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("sh", "key", "n", "text").dropDuplicates(["sh"])
+    pairs = cut(verified(members, words, least))
+    release(docs.sparkSession)
+    parts = components(pairs).withColumnRenamed("node", "sh")
     return marked.join(parts, "sh", "left").select("doc_id", "th", F.coalesce("component", "sh").alias("component"))
 
 
@@ -375,7 +377,9 @@ def one_of_similar(docs: DataFrame, words: int = 5, least: float = 0.8, seeds: i
 
     First is the smallest id (null last), then text digest; of rows alike in both one stays.
     """
-    return _first_of_each(docs, cut(similar(docs, words, least, seeds, id_col, text_col)), id_col, text_col)
+    found = cut(similar(docs, words, least, seeds, id_col, text_col))
+    release(docs.sparkSession)
+    return _first_of_each(docs, found, id_col, text_col)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratapanel.llm import line_dedup as m
 
@@ -18,10 +20,11 @@ def distance_one(a, b):
 def brute(rows):
     """rows of (doc_id, text) with distinct ids: the text that stays of each, and how many lines went as near copies."""
     lines = [(d, k, line, line.lower().split()) for d, t in sorted(rows) for k, line in enumerate((t or "").split("\n"))]
+    times = Counter(tuple(words) for _, _, _, words in lines)
     first, kept, near = {}, {d: [] for d, _ in rows}, dict.fromkeys((d for d, _ in rows), 0)
     for d, _, line, words in lines:
         key = tuple(words)
-        if len(words) < m.MIN_WORDS:
+        if not words or (len(words) < m.MIN_WORDS and times[key] < m.SHORT_TIMES):
             kept[d].append(line)
         elif key in first:
             continue
@@ -37,15 +40,15 @@ def brute(rows):
 def random_rows(seed):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(30)]
-    lines = [rng.choices(vocabulary, k=rng.choice([2, 4, 9, 10, 11, 12, 25])) for _ in range(25)]
+    lines = [rng.choices(vocabulary, k=rng.choice([1, 2, 3, 4, 6, 7, 9, 10, 11, 12, 16, 17, 25])) for _ in range(25)]
     rows = []
     for d in range(60):
         out = []
         for _ in range(rng.randint(0, 6)):
             line = list(rng.choice(lines))
             for _ in range(rng.choice([0, 0, 1, 1, 2])):
-                i = rng.randrange(len(line))
-                line[i : i + 1] = rng.choice([[], [rng.choice(vocabulary)], [line[i], rng.choice(vocabulary)]])
+                i = rng.randrange(max(1, len(line)))
+                line[i : i + 1] = rng.choice([[], [rng.choice(vocabulary)], [*line[i : i + 1], rng.choice(vocabulary)]])
             out.append(rng.choice([" ", "  "]).join(line).capitalize())
         rows.append((d, "\n".join(out)))
     return [*rows, (98, "same same " * 6), (99, "same same " * 5 + "same")]
@@ -63,8 +66,9 @@ def test_brute_force(spark, oracle, seed):
 
 def test_edge_cases(edge, empty):
     out = m.line_dedup(edge)
-    assert set(out.columns) == {*edge.columns, "n_removed", "n_near"}
-    rows = out.select("doc_id", "text", "n_lines", "n_removed").collect()
+    assert set(out.columns) == {*edge.columns, "lines_n_lines", "n_removed", "n_near"}  # a column n_lines is there already
+    assert {r["n_lines"] for r in out.collect()} == {r["n_lines"] for r in edge.collect()}
+    rows = out.select("doc_id", "text", F.col("lines_n_lines").alias("n_lines"), "n_removed").collect()
     assert len(rows) == edge.count()
     by_id = {}
     for r in rows:
