@@ -42,8 +42,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated lines, and documents of which nothing is left."""
-    left = line_dedup.line_dedup(docs).where((F.col("n_removed") == 0) | (F.regexp_count("text", F.lit(line_dedup.WORD)) > 0))
-    return _columns(docs, left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
+    gone = "__stage_gone"
+    left = line_dedup.line_dedup(docs, counts=("__stage_lines", gone, "__stage_near")).where((F.col(gone) == 0) | F.col("text").rlike(line_dedup.WORD))
+    return _columns(docs, left.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
