@@ -19,11 +19,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Spark's switch for dropping an execution's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
     The cluster names the folder in spark.checkpoint.dir.  Where that is unset,
-    a local session gets a throw-away folder and any other the warehouse.
+    a local session gets a throw-away folder and any other the warehouse.  Nothing
+    reads the shuffle files of ``df`` again, so Spark drops them.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -33,7 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="checkpoints-")
             atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint()
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # planned anew, under this setting
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def doc_key(id_col: str = "doc_id", text_col: str = "text") -> list:
@@ -68,11 +78,3 @@ def meet(rows: DataFrame, facts: DataFrame, on, how: str = "inner") -> DataFrame
     So texts are neither sorted nor sent to all executors, whatever the size of either side.
     """
     return rows.join(facts.hint("shuffle_hash"), on, how)
-
-
-def release(spark: SparkSession) -> None:
-    """Has the driver collect garbage, on which Spark drops shuffle files and checkpoints of plans that are gone.
-
-    Called after a cut, so that a step's files don't lie beside those of the next.
-    """
-    spark.sparkContext._jvm.System.gc()

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import SPACE, WORD, cut, documents, meet, release
+from stratapanel.llm.common import SPACE, WORD, cut, documents, meet
 
 #: Words of a line that goes at its first repeat, and for the edit bound (4 or more).
 MIN_WORDS, NEAR_WORDS = 4, 6
@@ -146,13 +146,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     slim = cut(_line_keys(docs, near_words, id_col, text_col))
     same = cut(_exact(slim, order, min_words, short_times))
     likely = cut(_likely(slim, order))
-    del slim
-    release(docs.sparkSession)
     lines = cut(_fetched(docs, likely, id_col, text_col))
-    release(docs.sparkSession)
     close = cut(_close(cut(_variants(lines)), lines))
-    del lines
-    release(docs.sparkSession)
     return same.withColumn("is_near", F.lit(False)).unionByName(close.withColumn("is_near", F.lit(True)))
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import cut, doc_key, documents, meet, release
+from stratapanel.llm.common import cut, doc_key, documents, meet
 
 #: Differing bits of a link; bands (64 bits as evenly as may be); nodes of a tree.
 #: A shard's key has some 27 bits, so that chance meetings stay few up to billions of nodes.
@@ -367,7 +367,6 @@ def similar(docs: DataFrame, words: int, least: float, seeds: int = SEEDS, id_co
     texts = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("text"))
     members = meet(texts, first, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("sh", "key", "n", "text").dropDuplicates(["sh"])
     pairs = cut(verified(members, words, least))
-    release(docs.sparkSession)
     parts = components(pairs).withColumnRenamed("node", "sh")
     return marked.join(parts, "sh", "left").select("doc_id", "th", F.coalesce("component", "sh").alias("component"))
 
@@ -378,7 +377,6 @@ def one_of_similar(docs: DataFrame, words: int = 5, least: float = 0.8, seeds: i
     First is the smallest id (null last), then text digest; of rows alike in both one stays.
     """
     found = cut(similar(docs, words, least, seeds, id_col, text_col))
-    release(docs.sparkSession)
     return _first_of_each(docs, found, id_col, text_col)
 
 
