@@ -6,12 +6,12 @@ windows with one anchor form a run, the same in every copy of the text around it
 
 1. Runs are grouped by anchor.  A group of one run has no copies, unless the anchor
    stands in it twice.  If all runs of a group are equal, all their windows are
-   repeated.
+   repeated.  A run has RUN windows at most, so that a text of any period is met in parts.
 2. Of the other groups, one run of each content is kept.  Their windows are put in
    suffix order; the previous and the next smaller position in that order give each
    window's longest previous factor.  If it has the full length, the window is a
    later copy of the earlier one found.
-3. A group with more than GROUP different runs isn't given to one task.  The text after
+3. A group with more than GROUP different runs (some 1 MB) isn't given to one task.  The text after
    the anchors, and the reversed text before them, are sorted over all tasks; what a
    run shares with its neighbours in the two orders bounds the windows that can be
    repeated.  Runs cut to these bounds mostly are equal, as in 1.  Those that aren't
@@ -36,8 +36,8 @@ from stratapanel.llm.common import cut, doc_key, documents
 
 #: Bytes of a repeated string; of an anchor (a power of two).
 MIN_BYTES, GRAM = 400, 64
-#: Different runs of a group for one task; bytes of text in one suffix order; windows hashed at a time.
-GROUP, BLOCK, SEGMENT = 64, 1 << 20, 1 << 17
+#: Different runs of a group for one task; bytes of text in one suffix order; windows hashed at a time; most windows of a run.
+GROUP, BLOCK, SEGMENT, RUN = 1024, 1 << 20, 1 << 17, 1024
 #: Windows of the blocks that the runs of larger groups are cut into.
 WIDTHS = (64, 8, 1)
 #: A length that bounds nothing.
@@ -87,7 +87,12 @@ def runs(data: bytes, size: int = MIN_BYTES) -> tuple[np.ndarray, np.ndarray, np
     double |= np.concatenate((~new[1:], [False]))  # goes on in the next segment
     double = np.logical_or.reduceat(double, np.flatnonzero(new))
     start, value = start[new], value[new]
-    return start, np.diff(np.concatenate((start, [n]))), value, double
+    # Where a text repeats within itself, a run may not end: its parts stay in the same group.
+    count = np.diff(np.concatenate((start, [n])))
+    parts = -(-count // RUN)
+    piece = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    start, value, double = (np.repeat(x, parts) for x in (start, value, double))
+    return start + piece * RUN, np.minimum(np.repeat(count, parts) - piece * RUN, RUN), value, double
 
 
 def _anchor_place(data: bytes, anchor: int) -> int:
@@ -191,8 +196,8 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("th").take(take), *map(pa.array, arrays)], ["doc_id", "th", "start", "n", "m", "d1", "d2", "twice"])
 
     every = cut(source.mapInArrow(split, f"{key}, start long, n long, m long, d1 long, d2 long, twice boolean"))
-    groups = every.groupBy("m").agg(F.count("*").alias("size"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.max("twice").alias("twice")).where("size > 1 or twice")
-    found = cut(every.join(groups.select("m", ((F.col("low") != F.col("high")) | F.col("twice")).alias("mixed")), "m"))
+    groups = every.groupBy("m").agg(F.count("*").alias("size"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("d2").alias("low2"), F.max("d2").alias("high2"), F.max("twice").alias("twice")).where("size > 1 or twice")
+    found = cut(every.join(groups.select("m", ((F.col("low") != F.col("high")) | (F.col("low2") != F.col("high2")) | F.col("twice")).alias("mixed")), "m"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "start")
     classes = found.groupBy("m", "d1", "d2").agg(F.count("*").alias("c"), F.min(rank).alias("first"), F.first("n").alias("n"), F.first("mixed").alias("mixed"), F.max("twice").alias("twice"))
     classes = cut(classes.where("c > 1 or mixed"))

@@ -72,3 +72,26 @@ def test_long_text_over_segments():
     assert start[0] == 0 and n.sum() == len(data) - 399 and (np.diff(start) == n[:-1]).all() and twice.sum() <= 2  # those that go on in the next segment
     part, *_ = m.runs(data[m.SEGMENT - 5000 : m.SEGMENT + 5000], 400)
     assert set((part[1:-1] + m.SEGMENT - 5000).tolist()) <= set(start.tolist())
+
+
+def test_periodic_texts_come_in_parts(spark):
+    rows = [(1, "ab" * 400_000), (2, "the same five words again " * 30_000), (3, "x" * 399), (4, "y" * 400), (5, "".join(chr(97 + i * i % 23) for i in range(700)))]
+    for _, t in rows:
+        start, n, _, _ = m.runs(t.encode(), 400)
+        assert n.sum() == max(0, len(t) - 399) and (len(n) == 0 or n.max() <= m.RUN) and (np.diff(start) == n[:-1]).all()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in m.suffix_dedup(docs, 400, keep_first=False).collect()}
+    assert got == {d: (len(t), *m_brute(t)) for d, t in rows}
+
+
+def m_brute(text):
+    """Bytes and spans of one text that repeats nothing of others."""
+    seen, covered, spans, end = {}, 0, 0, -1
+    for i in range(len(text) - 399):
+        seen[text[i : i + 400]] = seen.get(text[i : i + 400], 0) + 1
+    for i in range(len(text) - 399):
+        if seen[text[i : i + 400]] > 1:
+            covered += i + 400 - max(i, end)
+            spans += i > end
+            end = i + 400
+    return covered, spans
