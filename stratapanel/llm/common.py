@@ -55,6 +55,18 @@ def doc_key(id_col: str = "doc_id", text_col: str = "text") -> list:
     return [F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")]
 
 
+def free(names: list[str], taken: list[str], prefix: str) -> list[str]:
+    """The names; those that a column of ``taken`` has, whatever its case, with ``prefix`` before them."""
+    held = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = prefix + name
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 

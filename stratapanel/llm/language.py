@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from stratapanel.llm.common import cut, documents, near
+from stratapanel.llm.common import cut, documents, free, near
 
 #: Expected labelled documents for each language in the sample; lengths of n-grams.
 FIT_DOCS, ORDERS = 1500, (3, 4)
@@ -199,22 +200,24 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     winner's part of all corrected counts; of equal counts the first language by
     code point wins, with score 0 where no language is hit.  Without any learned
     language all rows are ``und``.  Repeated rows get equal results; columns
-    that aren't named are not carried.
+    that aren't named are not carried.  Where ``keep`` has a name of the results, the
+    result is called pred_<name>.
     """
     held = filters
     _letters()  # filled here, it reaches the tasks ready
-    names = ["lang_pred", "score", *(("rate", "lead", "grams") if evidence else ())]
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "_t")
+    names = free(["lang_pred", "score", *(("rate", "lead", "grams") if evidence else ())], ["doc_id", *keep], "pred_")
+    (hidden,) = free(["text"], ["doc_id", *keep], "_")
+    picked = docs.select(F.col(id_col).alias("doc_id"), *(f"`{c}`" for c in keep), F.col(text_col).alias(hidden))
+    schema = StructType([*picked.schema.fields[:-1], StructField(names[0], StringType()), *(StructField(n, DoubleType()) for n in names[1:])])
 
     def predict(batches):
         for batch in batches:
-            rest = [i for i, n in enumerate(batch.schema.names) if n != "_t"]
-            langs, *figures = held.judge([t or "" for t in batch.column("_t").to_pylist()])
+            *rest, texts = batch.columns
+            langs, *figures = held.judge([t or "" for t in texts.to_pylist()])
             found = [pa.array(langs, pa.string()), *map(pa.array, figures)][: len(names)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *found], [*(batch.schema.names[i] for i in rest), *names])
+            yield pa.RecordBatch.from_arrays([*rest, *found], [*batch.schema.names[:-1], *names])
 
-    return picked.mapInArrow(predict, schema + ", lang_pred string" + "".join(f", {n} double" for n in names[1:]))
+    return picked.mapInArrow(predict, schema)
 
 
 def split_off(docs: DataFrame) -> DataFrame:

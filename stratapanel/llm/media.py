@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from stratapanel.llm.common import cut, documents
+from stratapanel.llm.common import cut, documents, free
 
 #: Samples in a row of a stored image; level of its compression.
 WIDTH, LEVEL = 192, 1
@@ -99,19 +100,21 @@ def parse(html: str | None) -> list[dict]:
 def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, the columns in ``keep``, items array): one row for each input row.
 
-    Null, empty and textless HTML has no items; repeated rows are parsed each.
+    Null, empty and textless HTML has no items; repeated rows are parsed each.  Where
+    the id or ``keep`` is called items, the result is called media_items; it comes last.
     """
-    picked = pages.select(id_col, *keep, F.col(html_col).alias("_h"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "_h")
+    (result,) = free(["items"], [id_col, *keep], "media_")
+    (hidden,) = free(["html"], [id_col, *keep], "_")
+    picked = pages.select(f"`{id_col}`", *(f"`{c}`" for c in keep), F.col(html_col).alias(hidden))
+    schema = StructType([*picked.schema.fields[:-1], StructField(result, StructType.fromDDL(f"items array<{ITEM}>")[0].dataType)])
 
     def read(batches):
         kind = pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "ref", "digest", "caption"))]))
         for batch in batches:
-            rest = [i for i, n in enumerate(batch.schema.names) if n != "_h"]
-            items = pa.array([parse(h) for h in batch.column("_h").to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), items], [*(batch.schema.names[i] for i in rest), "items"])
+            *rest, html = batch.columns
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([parse(h) for h in html.to_pylist()], kind)], [*batch.schema.names[:-1], result])
 
-    return picked.mapInArrow(read, f"{schema}, items array<{ITEM}>")
+    return picked.mapInArrow(read, schema)
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
@@ -119,10 +122,20 @@ def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
 
     Text items and references without a payload have nulls there, so that positions
     stay aligned; an empty sequence gives no row.  A digest that very many items
-    name is a skewed key of a plain join, which Spark splits.
+    name is a skewed key of a plain join, which Spark splits.  ``sequences`` is of
+    ``interleave``: its last column holds the items.  Item fields whose name another
+    column of ``sequences`` has are called item_<name>, payload columns media_<name>.
     """
-    items = sequences.select(*(c for c in sequences.columns if c != "items"), F.inline("items"))
-    return items.join(media.withColumnRenamed("digest", "_d"), F.col("digest") == F.col("_d"), "left").drop("_d")
+    *own, items = sequences.columns
+    fields = [f.name for f in sequences.schema[-1].dataType.elementType.fields]
+    named = free(fields, own, "item_")
+    each = sequences.select(*(f"`{c}`" for c in own), F.explode(f"`{items}`").alias(free(["item"], own, "_")[0]))
+    item = each.columns[-1]
+    each = each.select(*(f"`{c}`" for c in own), *(F.col(item)[f].alias(n) for f, n in zip(fields, named)))
+    payload = [c for c in media.columns if c != "digest"]
+    key, *shown = free(["digest", *payload], each.columns, "media_")
+    facts = media.select(F.col("digest").alias(key), *(F.col(f"`{c}`").alias(n) for c, n in zip(payload, shown)))
+    return each.join(facts, F.col(named[fields.index("digest")]) == F.col(key), "left").drop(key)
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -216,5 +229,16 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
-QUERIES = {"op4_media": op4_media}
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence of each web page: its items, texts, references and captions, and the digest of its text blocks in order."""
+    pages = interleave(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    texts = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    refs = F.transform(F.filter("items", lambda x: x["kind"] == "media"), lambda x: F.concat_ws(" ", x["position"].cast("string"), x["ref"], x["caption"]))
+    return pages.select(
+        "page_id", F.size("items").alias("n_items"), F.size(texts).alias("n_texts"), F.size(refs).alias("n_media"),
+        F.sha2(F.array_join(texts, "\n"), 256).alias("texts_sha256"), F.array_join(refs, "\n").alias("references"),
+    )
+
+
+QUERIES = {"op4_media": op4_media, "media_pages": media_pages}
 ORACLES: dict[str, str] = {}

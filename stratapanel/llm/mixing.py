@@ -19,6 +19,8 @@ from stratapanel.llm.common import WORD, cut, documents, meet, near
 
 #: A rank has LEVELS digits of BITS bits; rows that share all of them are sorted.
 BITS, LEVELS = 10, 2
+#: Words of a document that has the highest inclusion odds.
+LONG = 1000
 
 
 def _unit(id_col: Column, seed: int) -> Column:
@@ -56,12 +58,17 @@ def targets(sources: DataFrame, max_repeats: float = 3.0) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights=ranked_weights, max_repeats: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", odds_col: str | None = None) -> DataFrame:
+def by_size(size: Column) -> Column:
+    """Inclusion odds of a document by its words: up to twice those of a fragment, from LONG words on."""
+    return 1.0 + F.least(size, F.lit(LONG)) / F.lit(float(LONG))
+
+
+def mix(docs: DataFrame, weights=ranked_weights, max_repeats: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", odds=by_size, odds_col: str | None = None) -> DataFrame:
     """One row for each input row: doc_id, th (digest of the text), source, size, source_size, target, copies, taken.
 
     ``weights`` turns a table (source, source_size) into one with a weight for
-    each source.  ``odds_col`` may name a positive factor of each document's
-    inclusion odds (default 1: all documents of a source are as likely).
+    each source.  ``odds`` gives a positive factor of each document's inclusion odds
+    from its size; ``odds_col`` may name a column that holds it instead.
 
     Size is the number of words; null and empty texts have size 0 and are never
     sampled.  Null is a source of its own.  Documents of equal rank are ordered by
@@ -70,17 +77,18 @@ def mix(docs: DataFrame, weights=ranked_weights, max_repeats: float = 3.0, seed:
     its target by half a document at most.  An empty table gives an empty result;
     other columns of the input are not carried, whatever their names.
     """
-    odds = F.col(odds_col).cast("double") if odds_col else F.lit(1.0)
-    rows = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            _unit(F.col(id_col), seed).alias("u"),
-            odds.alias("odds"),
-        )
+    given = [F.col(odds_col).cast("double").alias("odds")] if odds_col else []
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
+        F.col(source_col).alias("source"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _unit(F.col(id_col), seed).alias("u"),
+        *given,
     )
+    rows = cut(rows)
+    if not odds_col:
+        rows = rows.withColumn("odds", odds(F.col("size")))
     sized = targets(weights(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), max_repeats)
     rest = F.col("target") - F.col("whole") * F.col("source_size")
     plan = (
@@ -168,7 +176,7 @@ WITH d AS (
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 ), k AS (
   SELECT *, CASE WHEN part > 0 AND size > 0
-    THEN (((u + 0.5::DOUBLE) / 4503599627370496) / (1 - (u + 0.5::DOUBLE) / 4503599627370496)) / (part / (1 - part)) END AS rank
+    THEN (((u + 0.5::DOUBLE) / 4503599627370496) / (1 - (u + 0.5::DOUBLE) / 4503599627370496)) / (part / (1 - part) * (1.0::DOUBLE + least(size, LONG) / LONG::DOUBLE)) END AS rank
   FROM j
 ), c AS (
   SELECT *, coalesce(sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, u, doc_id, size
@@ -177,7 +185,7 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM (
   SELECT *, (whole + CASE WHEN rank IS NOT NULL AND till + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM c)
-"""
+""".replace("LONG", str(LONG))
 
 QUERIES = {"op1_mixing": op1_mixing}
 ORACLES = {"op1_mixing": ORACLE}

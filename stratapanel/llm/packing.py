@@ -1,6 +1,6 @@
 """Packing into optimal length buckets.
 
-Texts are cut into pieces of at most MAX_LENGTH words.  Dynamic programming over the
+Texts are cut into pieces of at most MAX_LENGTH words or tokens.  Dynamic programming over the
 global histogram of piece lengths, which has a bounded number of bins, chooses the
 bucket boundaries with the least padding.  Inside each bucket, pieces in a random
 but fixed order fill batches up to a token budget, padding included.
@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratapanel.llm.common import WORD, cut, documents
+from stratapanel.llm.token_counts import token_pieces
 
-#: Words of a piece; buckets; words of a batch with its padding; hexadecimal digits of the order key.
+#: Words or tokens of a piece; buckets; words or tokens of a batch with its padding; hexadecimal digits of the order key.
 MAX_LENGTH, BUCKETS, BUDGET, DIGITS = 2048, 8, 65_536, 3
 
 
@@ -51,47 +52,67 @@ def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> l
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, budget: int = BUDGET, digits: int = DIGITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece: doc_id, piece, start_word, length, bucket, bucket_length, batch, slot, padding.
-
-    Null, empty and blank texts are one piece of length 0.  Of a long text's pieces all
-    but the last are full.  Repeated rows are packed each; pieces alike in order key,
-    id and number are interchangeable.  ``batch`` counts from 0 within a bucket; its
-    pieces times ``bucket_length`` stay within ``budget`` (a piece longer than the
-    budget is a batch of its own).  An empty table gives an empty result; other
-    columns of the input are not carried, whatever their names.
-    """
+def word_pieces(docs: DataFrame, max_length: int = MAX_LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Parts of texts of at most ``max_length`` words: doc_id, piece, start_word, length.  Null and blank texts have one of length 0."""
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select(F.col(id_col).alias("doc_id"), words.alias("words"))
     last = F.greatest(F.ceil(F.col("words") / max_length), F.lit(1)) - 1
     pieces = sized.select("doc_id", "words", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     start = F.col("piece") * max_length
-    pieces = cut(
-        pieces.select(
-            "doc_id", "piece", start.alias("start_word"), F.least(F.col("words") - start, F.lit(max_length)).alias("length"),
-            F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("piece").cast("string"))).alias("key"),
-        )
-    )
-    histogram = pieces.groupBy("length").count().orderBy("length").collect()  # at most max_length + 1 rows
+    return pieces.select("doc_id", "piece", start.alias("start_word"), F.least(F.col("words") - start, F.lit(max_length)).alias("length"))
+
+
+def fill(pieces: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, digits: int = DIGITS) -> DataFrame:
+    """Batches of pieces (doc_id, piece, length, other columns): adds bucket, bucket_length, batch, slot, padding.
+
+    ``length`` may be in words, tokens or any unit, the budget's; it has few different
+    values, as pieces have a bound.  Pieces alike in id and number are
+    interchangeable.  ``batch`` counts from 0 within a bucket; its pieces times
+    ``bucket_length`` stay within ``budget`` (a piece longer than the budget is a batch
+    of its own).  An empty table gives an empty result.
+    """
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("piece").cast("string")))
+    keep = pieces.columns
+    pieces = cut(pieces.withColumn("__pack_key", key))
+    histogram = pieces.groupBy("length").count().orderBy("length").collect()  # a row for each length that a piece may have
     bounds = optimal_boundaries([r["length"] for r in histogram], [r["count"] for r in histogram], buckets)
     bucket, bound = F.lit(len(bounds) - 1), F.lit(bounds[-1] if bounds else 0)
     for k in range(len(bounds) - 2, -1, -1):
         bucket = F.when(F.col("length") <= bounds[k], k).otherwise(bucket)
         bound = F.when(F.col("length") <= bounds[k], bounds[k]).otherwise(bound)
-    placed = pieces.withColumns({"bucket": bucket.cast("int"), "bucket_length": bound.cast("long"), "digit": F.substring("key", 1, digits)})
+    placed = pieces.withColumns({"bucket": bucket.cast("int"), "bucket_length": bound.cast("long"), "__pack_digit": F.substring("__pack_key", 1, digits)})
     # Pieces before each digit of a bucket: at most buckets * 16 ** digits rows.
-    run = Window.partitionBy("bucket").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("bucket", "digit").count().withColumn("before", F.coalesce(F.sum("count").over(run), F.lit(0))).drop("count")
-    within = Window.partitionBy("bucket", "digit").orderBy("key", "doc_id", "piece")
-    ranked = placed.withColumn("place", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["bucket", "digit"])
-    place = F.col("before") + F.col("place")
+    run = Window.partitionBy("bucket").orderBy("__pack_digit").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("bucket", "__pack_digit").count().withColumn("__pack_before", F.coalesce(F.sum("count").over(run), F.lit(0))).drop("count")
+    within = Window.partitionBy("bucket", "__pack_digit").orderBy("__pack_key", "doc_id", "piece")
+    ranked = placed.withColumn("__pack_place", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["bucket", "__pack_digit"])
+    place = F.col("__pack_before") + F.col("__pack_place")
     each = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1))), F.lit(1))
     return ranked.select(
-        "doc_id", "piece", "start_word", "length", "bucket", "bucket_length",
+        *keep, "bucket", "bucket_length",
         F.floor(place / each).cast("long").alias("batch"), (place % each).cast("long").alias("slot"), (F.col("bucket_length") - F.col("length")).alias("padding"),
     )
 
 
+def pack(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, budget: int = BUDGET, digits: int = DIGITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each piece: doc_id, piece, start_word, length, bucket, bucket_length, batch, slot, padding; lengths in words.
+
+    Null, empty and blank texts are one piece of length 0.  Of a long text's pieces all
+    but the last are full.  Repeated rows are packed each.  An empty table gives an
+    empty result; other columns of the input are not carried, whatever their names.
+    """
+    return fill(word_pieces(docs, max_length, id_col, text_col), buckets, budget, digits)
+
+
+def pack_tokens(docs: DataFrame, tokenizer: str, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, budget: int = BUDGET, digits: int = DIGITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same with lengths and budget in tokens, and the text of each piece: doc_id, piece, start_char, length, text and the columns of ``fill``.
+
+    So a batch can be built from its rows alone, and the pieces of a document give its
+    text again.  ``tokenizer`` is the path of a byte-level tokenizers file.
+    """
+    return fill(token_pieces(docs, tokenizer, max_length, id_col, text_col), buckets, budget, digits)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 

@@ -235,11 +235,14 @@ SEEDS, REACH, BLOCK = 8, 0.25, 256
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct XXH64 (seed 42) of all word shingles; nothing without words."""
     tokens = (text or "").encode().lower().split()
-    size = min(words, len(tokens))
-    if not size:
+    if not tokens:
         return np.zeros(0, np.uint64)
+    size, line = min(words, len(tokens)), b" ".join(tokens)
+    length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    start = np.concatenate(([0], np.cumsum(length + 1)[:-1]))
+    stop = (start + length)[size - 1 :]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(tokens[i : i + size]), 42) for i in range(len(tokens) - size + 1)), np.uint64, len(tokens) - size + 1))
+    return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in zip(start.tolist(), stop.tolist())), np.uint64, len(stop)))
 
 
 def seeded(found: np.ndarray, seeds: int) -> np.ndarray:

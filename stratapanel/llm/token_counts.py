@@ -85,6 +85,37 @@ class Counter:
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
 
+    def pieces_of(self, text: str):
+        """(piece, tokens) in order; pieces put together are the text, and tokens never cross them."""
+        at = 0
+        for m in self.added.finditer(text) if self.added else ():
+            yield from ((x.group(), self.pieces[x.group()]) for x in self.cut.finditer(text[at : m.start()]))
+            yield m.group(), 1
+            at = m.end()
+        yield from ((x.group(), self.pieces[x.group()]) for x in self.cut.finditer(text[at:]))
+
+    def chunks(self, text: str, most: int) -> list[tuple[int, int, int]]:
+        """(first character, end, tokens) of successive parts of at most ``most`` tokens; one empty part for an empty text.
+
+        A part ends between pieces; only a piece of more tokens than ``most`` is
+        halved until its parts fit, and counted by part.
+        """
+        out, start, at, total = [], 0, 0, 0
+        work: list[str] = []
+        for piece, n in self.pieces_of(text):
+            work = [piece]
+            while work:
+                part = work.pop()
+                n = self.pieces[part] if part is not piece else n
+                if n > most and len(part) > 1:
+                    work += [part[len(part) // 2 :], part[: len(part) // 2]]
+                    continue
+                if total + n > most and total:
+                    out.append((start, at, total))
+                    start, total = at, 0
+                at, total = at + len(part), total + n
+        return [*out, (start, at, total)]
+
     def plain(self, text: str) -> int:
         if len(text) <= LAZY_CHARS:
             return sum(map(self.pieces.__getitem__, self.cut.findall(text)))
@@ -120,6 +151,29 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     return picked.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
+def token_pieces(docs: DataFrame, tokenizer: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Parts of texts of at most ``most`` tokens: doc_id, piece, start_char, length (tokens), text.
+
+    Parts put together give the text again.  Null and empty texts have one empty part;
+    repeated rows are cut each; other columns of the input are not carried.
+    """
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def cut_up(batches):
+        counter = Counter(tokenizer)
+        for batch in batches:
+            take, rows = [], []
+            for k, text in enumerate(texts_of(batch.column("text"))):
+                for i, (lo, hi, n) in enumerate(counter.chunks(text, most)):
+                    take.append(k)
+                    rows.append((i, lo, n, text[lo:hi]))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(take, pa.int64())), *columns], ["doc_id", "piece", "start_char", "length", "text"])
+
+    kind = picked.schema["doc_id"].dataType.simpleString()
+    return picked.mapInArrow(cut_up, f"doc_id {kind}, piece long, start_char long, length long, text string")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -52,3 +52,51 @@ def test_long_texts_count_like_short_ones():
     runs = list(language.pieces([text]))
     whole = sum(len(language.grams(c, 4)[language.grams(c, 4) != 0]) for c, _ in runs)
     assert len(runs) > 1 and abs(whole - len(text)) < 10 * len(runs)
+
+
+def brute_counts(text, sets, false):
+    """Corrected hits of one text by language, n-gram by n-gram."""
+    clean = "".join(c if c.isalpha() else " " for c in text.lower())
+    clean = " " + " ".join(clean.split()) + " "
+    hits = dict.fromkeys(sets, 0.0)
+    total = 0
+    for order in language.ORDERS:
+        for i in range(len(clean) + 1):
+            piece = (clean + "    ")[i : i + order]
+            if piece.strip() and i < len(clean):
+                total += 1
+                h = language.grams(np.frombuffer(piece.encode("utf-32-le"), np.uint32), order)[0]
+                for x in sets:
+                    hits[x] += h in sets[x]
+    return {x: max(0.0, (hits[x] - total * false[x]) / (1 - false[x])) for x in sets}
+
+
+def test_predictions_against_sets_without_filters():
+    import random
+
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(2, 6)))
+    alphabets = {"aa": "abcdefghij", "bb": "fghijklmno", "cc": "klmnopqrst"}
+    train = {x: " ".join(word(a) for _ in range(2000)) for x, a in alphabets.items()}
+    sets = {}
+    for x, t in train.items():
+        (chars, _), *_ = language.pieces([t])
+        sets[x] = np.unique(np.concatenate([language.grams(chars, o) for o in language.ORDERS]))
+        sets[x] = sets[x][sets[x] != 0]
+    f = language.Filters(list(sets), sets)
+    texts = [" ".join(word(alphabets[rng.choice(list(sets))]) for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["a", "F1 o.O"]
+    names, scores, *_ = f.judge(texts)
+    held = {x: set(s.tolist()) for x, s in sets.items()}
+    for text, name, score in zip(texts, names, scores):
+        real = brute_counts(text, held, dict(zip(sets, f.false)))
+        best = max(sets, key=lambda x: (real[x], -list(sets).index(x)))
+        part = real[best] / sum(real.values()) if sum(real.values()) else 0.0
+        assert score == pytest.approx(part, abs=0.03) and (name == best or real[best] - real[name] < 2)
+
+
+def test_clashing_names(spark, edge):
+    filters = language.fit(language.training(edge))
+    docs = edge.select("doc_id", "text", F.lit(1).alias("score"), F.lit("x").alias("_text"), F.lit(2.0).alias("rate"), F.array(F.struct(F.lit(1).alias("odd name"))).alias("lang_pred"))
+    out = language.identify(docs, filters, keep=("score", "_text", "rate", "lang_pred", "text"), evidence=True)
+    assert out.columns == ["doc_id", "score", "_text", "rate", "lang_pred", "text", "pred_lang_pred", "pred_score", "pred_rate", "lead", "grams"]
+    assert {r["score"] for r in out.collect()} == {1}

@@ -57,3 +57,42 @@ def test_real_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     out = media.interleave(pages)
     assert out.count() == pages.count() and out.where("size(items) > 3").count() > pages.count() / 2
+
+
+def test_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "<p>a</p><img src='sha256:d1'>", "own text", "own kind", 7)], "page_id long, html string, text string, kind string, items long")
+    store = spark.createDataFrame([("d1", bytearray(b"payload"), "paid")], "digest string, payload binary, caption string")
+    out = media.resolve(media.interleave(pages, keep=("text", "kind", "items", "html")), store)
+    assert out.columns == ["page_id", "text", "kind", "items", "html", "position", "item_kind", "item_text", "ref", "digest", "caption", "payload", "media_caption"]
+    rows = out.orderBy("position").collect()
+    assert [(r["text"], r["item_text"], r["items"], r["media_caption"]) for r in rows] == [("own text", "a", 7, None), ("own text", None, 7, "paid")]
+
+
+def test_stored_form_and_feature_against_brute_force():
+    import math
+
+    for data in (b"a", b"hello world " * 50, bytes(range(256)) * 3, "é".encode() * 700):
+        payload = media.pad(data)
+        stored = media.encode_image(payload)
+        rows = [b"\0" + payload[i : i + 192] for i in range(0, len(payload), 192)]
+        assert zlib.decompress(stored[stored.index(b"IDAT") + 4 : -16]) == b"".join(rows) and stored.endswith(b"IEND\xaeB`\x82")
+        assert int.from_bytes(stored[16:20], "big") == 192 and int.from_bytes(stored[20:24], "big") == len(rows)
+        bits, mean, deviation, entropy = media.describe(payload).split(":")
+        n, step = len(payload), len(payload) // 64
+        m = sum(payload) / n
+        parts = [sum(payload[i * step : (i + 1) * step]) / step > m for i in range(64)]
+        assert int(bits, 16) == int("".join("01"[x] for x in parts), 2)
+        assert float(mean) == pytest.approx(m, abs=6e-4) and float(deviation) == pytest.approx(math.sqrt(sum((x - m) ** 2 for x in payload) / n), abs=6e-4)
+        assert float(entropy) == pytest.approx(-sum(c / n * math.log2(c / n) for c in map(payload.count, range(256)) if c), abs=6e-5)
+
+
+@pytest.mark.skipif(not __import__("os").path.exists("/root/testdata/sf0.001"), reason="no test data")
+def test_pages_query(spark):
+    got = {r["page_id"]: r for r in media.media_pages(spark, "/root/testdata/sf0.001").collect()}
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        items = media.parse(p["html"])
+        r = got[p["page_id"]]
+        assert (r["n_items"], r["n_texts"], r["n_media"]) == (len(items), sum(x["kind"] == "text" for x in items), sum(x["kind"] == "media" for x in items))
+        assert r["texts_sha256"] == hashlib.sha256("\n".join(x["text"] for x in items if x["kind"] == "text").encode()).hexdigest()

@@ -69,3 +69,31 @@ def test_equals_sql(spark, oracle):
 
     docs = spark.createDataFrame([(i, "w " * (i * 37 % 3000)) for i in range(150)], "doc_id long, text string")
     same(m.pack(docs).collect(), oracle(docs, m._oracle()))
+
+
+def test_token_pieces_rebuild_texts(spark, edge):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [(200, "x" * 5000), (201, "one <|endoftext|> two"), (202, "a  b \n\n c   "), (203, "word " * 3000)]
+    docs = edge.select("doc_id", "text", "n_lines").unionByName(spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, n_lines long"))
+    rows = m.pack_tokens(docs, path, max_length=64, buckets=4, budget=500, digits=1).collect()
+    exact = Tokenizer.from_file(path)
+    by_doc = defaultdict(list)
+    batches = defaultdict(list)
+    for r in rows:
+        assert r["length"] == len(exact.encode(r["text"], add_special_tokens=False).ids) <= 64 and r["padding"] == r["bucket_length"] - r["length"] >= 0
+        by_doc[r["doc_id"]].append(r)
+        batches[r["bucket"], r["batch"]].append(r)
+    for batch in batches.values():
+        assert sorted(r["slot"] for r in batch) == list(range(len(batch))) and (len(batch) == 1 or len(batch) * batch[0]["bucket_length"] <= 500)
+    expected = defaultdict(list)
+    for r in docs.collect():
+        expected[r["doc_id"]].append(r["text"] or "")
+    for d, whole in expected.items():
+        mine = sorted(by_doc[d], key=lambda r: r["piece"])
+        if len(whole) == 1:
+            assert "".join(r["text"] for r in mine) == whole[0] and all(whole[0][r["start_char"] :].startswith(r["text"]) for r in mine)
+        assert sum(len(r["text"]) for r in mine) == sum(map(len, whole))
+    assert max(sum(r["length"] for r in b) for b in batches.values()) > 250
