@@ -227,9 +227,10 @@ def _first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str
     return rows.where("__near_again is null").unionByName(alike).drop("__near_id", "__near_th", "__near_again")
 
 
-#: Near copies by similarity: fingerprints of a text, bits of all of them that a pair to be
-#: verified may differ in (a pair at 0.8 differs in about 15 %, unrelated texts in half), nodes of a block.
-SEEDS, REACH, BLOCK = 8, 0.25, 256
+#: Near copies by similarity: fingerprints of a text; bands of each, of which a shard takes two (some 26 bits); bits of
+#: all fingerprints that a pair to be verified may differ in (a pair at 0.8 differs in about 15 %, unrelated texts in
+#: half); nodes of a block.  Two bands of few, over more fingerprints, find as much with half the keys of three of seven.
+SEEDS, PARTS, REACH, BLOCK = 14, 5, 0.25, 256
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -302,8 +303,8 @@ def _blocks(members: DataFrame, block: int, *keep: str) -> DataFrame:
 
 def candidates(nodes: DataFrame, seeds: int, tree: int = TREE) -> DataFrame:
     """(a, b): links that connect all nodes (sh, fps) which share a shard of any seed and differ in few bits of all fingerprints."""
-    cuts = [round(64 * i / BANDS) for i in range(BANDS + 1)]
-    chosen = np.array([sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in c) for c in combinations(range(BANDS), BANDS - RADIUS)], np.uint64)
+    cuts = [round(64 * i / PARTS) for i in range(PARTS + 1)]
+    chosen = np.array([sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in c) for c in combinations(range(PARTS), 2)], np.uint64)
     signed = chosen.view(np.int64).tolist()
     each = nodes.select("sh", F.posexplode("fps").alias("seed", "fp"))
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("seed"), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)))
