@@ -41,9 +41,17 @@ def monthly_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.aggregate_panel(rows, calendar.month_id(F.col("o_orderdate")), F.col("c_nationkey"), {"y": money("o_totalprice"), "n": F.count("*")}, MONTHLY)
 
 
+def _span(panel: DataFrame, spec: PanelSpec, parts: Partition) -> tuple[int, int]:
+    """From the first to the last time of partitions and rows."""
+    low, high = panel.agg(F.min(spec.time), F.max(spec.time)).first()
+    return (parts.train[0], parts.test[1]) if low is None else (min(low, parts.train[0]), max(high, parts.test[1]))
+
+
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"))
-    return P.densify(monthly_sparse(spark, sf_dir), nations, MONTHLY, span=(PARTITION.train[0], PARTITION.test[1]))
+    sparse = monthly_sparse(spark, sf_dir)
+    times = table(spark, sf_dir, "orders").select(calendar.month_id(F.col("o_orderdate")).alias(MONTHLY.time))
+    return P.densify(sparse, nations, MONTHLY, span=_span(times, MONTHLY, PARTITION))
 
 
 def daily_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +61,8 @@ def daily_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    return P.densify(daily_sparse(spark, sf_dir), users, DAILY, span=(DAYS.train[0], DAYS.test[1]))
+    times = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(calendar.day_id(F.col("ts")).alias(DAILY.time))
+    return P.densify(daily_sparse(spark, sf_dir), users, DAILY, span=_span(times, DAILY, DAYS))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +82,10 @@ PM_SPARSE = """pms AS (
   SELECT ((year(o_orderdate) - 1980) * 12 + month(o_orderdate))::INTEGER AS month_id, c_nationkey AS nation,
          sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS y, count(*) AS n
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
+SPAN = "SELECT unnest(range(least(coalesce(min({0}), {2}), {2}), greatest(coalesce(max({0}), {3}), {3}) + 1)) AS {0} FROM {1}"
 PM = f"""{PM_SPARSE}, pm AS (
   SELECT c.month_id::INTEGER AS month_id, c.nation, coalesce(y, 0)::DOUBLE AS y, coalesce(n, 0)::BIGINT AS n
-  FROM (SELECT n_nationkey AS nation, unnest(range({PARTITION.train[0]}, {PARTITION.test[1] + 1})) AS month_id FROM nation) c
+  FROM (SELECT n_nationkey AS nation, month_id FROM nation, ({SPAN.format("month_id", "pms", PARTITION.train[0], PARTITION.test[1])})) c
   LEFT JOIN pms USING (month_id, nation))"""
 PD_SPARSE = """pds AS (
   SELECT (datediff('day', DATE '1980-01-01', ts::DATE) + 1)::INTEGER AS day_id, user_id,
@@ -83,7 +93,7 @@ PD_SPARSE = """pds AS (
   FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)"""
 PD = f"""{PD_SPARSE}, pd AS (
   SELECT c.day_id::INTEGER AS day_id, c.user_id, coalesce(y, 0)::DOUBLE AS y, coalesce(n, 0)::BIGINT AS n
-  FROM (SELECT user_id, unnest(range({DAYS.train[0]}, {DAYS.test[1] + 1})) AS day_id FROM (SELECT DISTINCT user_id FROM events)) c
+  FROM (SELECT user_id, day_id FROM (SELECT DISTINCT user_id FROM events), ({SPAN.format("day_id", "pds", DAYS.train[0], DAYS.test[1])})) c
   LEFT JOIN pds USING (day_id, user_id))"""
 ASINH = "(sign({0}) * ln(abs({0}) + sqrt({0} * {0} + 1)))"
 PAIRS = f"""{PD}, pz AS (

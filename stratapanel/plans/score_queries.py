@@ -170,12 +170,12 @@ def coverage_samples(spark, d):
 
 @query(
     "ignorance_samples",
-    f"WITH {SAMPLES}, m AS (SELECT y, list_avg(x) AS mu, greatest(list_stddev_pop(x), 1e-6) AS sd FROM ce WHERE list_stddev_pop(x) > 0) SELECT count(*) AS n, round(avg((ln(sd) + 0.5 * ((y - mu) / sd) * ((y - mu) / sd) + 0.9189385332046727::DOUBLE) / 0.6931471805599453::DOUBLE), 4) AS ignorance FROM m",
+    f"WITH {SAMPLES}, m AS (SELECT y, list_avg(x) AS mu, greatest(list_stddev_pop(x), 1e-6) AS sd FROM ce), s AS (SELECT count(*) AS n, avg((ln(sd) + 0.5 * ((y - mu) / sd) * ((y - mu) / sd) + 0.9189385332046727::DOUBLE) / 0.6931471805599453::DOUBLE) AS ignorance FROM m) SELECT n, round(sign(ignorance) * ln(1 + abs(ignorance)), 4) AS log_ignorance FROM s",
 )
 def ignorance_samples(spark, d):
-    rows = sampled(spark, d).where(F.array_max("x") > F.array_min("x"))
+    rows = sampled(spark, d)  # cells whose samples are all equal are scored with the least spread
     found = metrics.sample_metrics(rows.withColumn("one", F.lit(1)), "x", by=["one"])
-    return rounded(found.crossJoin(rows.agg(F.count("*").alias("n"))).select("n", "ignorance"), 4)
+    return rounded(found.crossJoin(rows.agg(F.count("*").alias("n"))).select("n", (F.signum("ignorance") * F.log1p(F.abs("ignorance"))).alias("log_ignorance")), 4)
 
 
 @query("prediction_sanity", f"WITH {NAIVE}, m AS (SELECT avg(p) AS mean, stddev_samp(p) AS std, min(p) AS low, max(p) AS high FROM ce) SELECT round(mean, 4) AS mean, round(std, 4) AS std, low, high, round(avg((abs(p - mean) < 1e-3)::INTEGER::DOUBLE), 4) AS near_mean, false AS collapsed FROM ce, m GROUP BY mean, std, low, high")
