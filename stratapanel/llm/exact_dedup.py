@@ -1,7 +1,8 @@
 """Exact dedup by deterministic block naming, in SQL functions only.
 
-A text is cut into blocks of fixed size.  Equal blocks get one integer name, by
-sorting the distinct ones (by digest, and by content where digests meet).  Then
+A text is cut into blocks of fixed size.  Equal blocks get one integer name, their
+place when the distinct ones are sorted (by digest, and by content where digests
+meet), so names depend on the texts only, not on how rows are dealt.  Then
 adjacent pairs of names get names in the same way, level by level, until a single
 name stands for the whole text.  Two texts have the same name at the same level
 if and only if they are equal: each name stands for one content.
@@ -23,8 +24,15 @@ BLOCK = 1024
 
 
 def _named(keys: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct keys in sorted order within each partition, with an integer name."""
-    return cut(keys.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id()))
+    """Distinct keys with their place in sorted order as name: the same names however the rows are dealt.
+
+    The keys are sorted into ranges, and a range's names start where those of the ranges before it end.
+    """
+    row = F.monotonically_increasing_id()  # range and row within it
+    placed = cut(keys.sort(*by).select(*by, F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("row")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), "part").select(*by, (F.col("start") + F.col("row")).alias("name"))
 
 
 def identities(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", digest=F.xxhash64) -> DataFrame:

@@ -43,3 +43,20 @@ def test_collisions_never_merge_texts(spark):
     docs = spark.createDataFrame([(i, format(i, "b")) for i in range(300)], "doc_id long, text string")
     got = m.exact_dedup(docs, 2, digest=lambda b: F.lit(1).cast("long")).collect()
     assert all(r["group_size"] == 1 for r in got)
+
+
+def test_names_do_not_depend_on_partitioning(spark):
+    docs = spark.createDataFrame([(i, "ab cd " * (i % 9) + str(i % 40)) for i in range(400)], "doc_id long, text string")
+
+    def names(rows, digest=F.xxhash64):
+        return sorted((r["doc_id"], r["level"], r["name"]) for r in m.identities(rows, 4, digest=digest).select("doc_id", "level", "name").collect())
+
+    few = lambda b: F.pmod(F.xxhash64(b), F.lit(5))
+    for digest in (F.xxhash64, few):
+        first = names(docs.repartition(1), digest)
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        try:
+            assert names(docs.repartition(5, "text"), digest) == first
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
