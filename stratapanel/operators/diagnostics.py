@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapanel.functions.elementary import poisoned
+from stratapanel.operators.quantiles import exact_quantiles
 
 
 def loss_spikes(log: DataFrame, run: str, order: str, loss: str, width: int = 100, factor: float = 5.0, least: int = 10) -> DataFrame:
@@ -62,7 +63,8 @@ def layer_norms(values: DataFrame, layer: str, value: str) -> DataFrame:
 def norm_summary(norms: DataFrame, low: float = 1e-7, high: float = 500.0) -> DataFrame:
     """Least, greatest, mean and median norm over layers, and how many vanish or explode."""
     n = F.col("norm")
-    return norms.agg(F.min(n).alias("low"), F.max(n).alias("high"), F.avg(n).alias("mean"), F.percentile(n, 0.5).alias("median"), F.count_if(n < low).alias("vanishing"), F.count_if(n > high).alias("exploding"), F.sum("nan").alias("nan"), F.sum("inf").alias("inf"))
+    median = exact_quantiles(norms, {"norm": n}, [0.5])["norm"]
+    return norms.agg(F.min(n).alias("low"), F.max(n).alias("high"), F.avg(n).alias("mean"), F.lit(median[0] if median else None).cast("double").alias("median"), F.count_if(n < low).alias("vanishing"), F.count_if(n > high).alias("exploding"), F.sum("nan").alias("nan"), F.sum("inf").alias("inf"))
 
 
 def offenders(norms: DataFrame, layer: str, high: float, n: int = 3) -> DataFrame:
@@ -84,10 +86,11 @@ def timeline_stats(panel: DataFrame, entity: str, value: str) -> DataFrame:
 
 def describe(stats: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each column: count, mean, deviation, bounds and exact quartiles."""
+    quartiles = exact_quantiles(stats, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
     rows = []
     for c in columns:
         v = F.col(c).cast("double")
-        q = F.percentile(v, [0.25, 0.5, 0.75])
+        q = [F.lit(x).cast("double") for x in quartiles[c] or [None] * 3]
         rows.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(v).alias("high")))
     return stats.agg(F.array(*rows).alias("a")).select(F.inline("a"))
 

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratapanel.operators.quantiles import exact_quantiles
+
 
 def scored(predictions: DataFrame, actuals: DataFrame, keys: list[str], prediction: str, actual: str) -> DataFrame:
     """Inner join of predictions with actuals on the panel keys, as columns p and y."""
@@ -59,6 +61,7 @@ def calibration(cells: DataFrame, threshold: float, series: list[str] | None = N
     ratio is null where the mean truth vanishes.
     """
     p, y = F.col("p").cast("double"), F.col("y").cast("double")
+    median = exact_quantiles(cells, {"p": p}, [0.5], discrete=True)["p"]
     if series:
         cells = cells.withColumn("is_event", F.max(F.abs("y")).over(Window.partitionBy(*series)) > threshold)
     else:
@@ -67,7 +70,7 @@ def calibration(cells: DataFrame, threshold: float, series: list[str] | None = N
         F.count("*").alias("n"),
         F.avg(p).alias("mean_p"),
         F.avg(y).alias("mean_y"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY p)").alias("median_p"),
+        F.lit(median[0] if median else None).cast("double").alias("median_p"),
         F.when(F.avg(y) > 1e-6, F.avg(p) / F.when(F.avg(y) > 1e-6, F.avg(y))).alias("ratio"),
         F.avg(p - y).alias("bias"),
         F.stddev_samp(p).alias("std_p"),

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 from math import cos, pi, sin
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,16 +217,23 @@ def sentinel_loss(df: DataFrame, series: str, step: str, prediction: str, truth:
 def gates(losses: DataFrame, order: str, loss: str, run: str, momentum: float = 0.05, leak: float = 0.999) -> DataFrame:
     """Adds ema, peak and gate after each batch of a run: a fold in batch order.
 
-    The fold isn't associative, so the batches of one run (a training log) are one group.
+    The fold isn't associative, so the batches of one run (a training log) are one
+    group, sorted and folded once, in linear time.  A loss that is null or NaN leaves
+    the mean as it was.
     """
-    logged = losses.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(order, F.col(loss).cast("double").alias("l")))).alias("log"))
-    start = F.struct(F.lit(None).cast("double").alias("ema"), F.lit(0.0).alias("peak"), F.array().cast("array<struct<o:bigint,ema:double,peak:double>>").alias("out"))
 
-    def step(state, row):
-        ema = F.when(state["ema"].isNull(), row["l"]).otherwise(state["ema"] + momentum * (row["l"] - state["ema"]))
-        peak = F.greatest(state["peak"] * leak, ema)
-        return F.struct(ema.alias("ema"), peak.alias("peak"), F.concat(state["out"], F.array(F.struct(row[order].cast("bigint").alias("o"), ema.alias("ema"), peak.alias("peak")))).alias("out"))
-
-    folded = logged.select(run, F.inline(F.aggregate("log", start, step, lambda s: s["out"])))
+    def fold(log: pd.DataFrame) -> pd.DataFrame:
+        log = log.sort_values("o", kind="stable")
+        ema, peak, states = None, 0.0, []
+        for value in log["l"]:
+            if value == value:
+                ema = value if ema is None else ema + momentum * (value - ema)
+            peak = peak * leak if ema is None else max(peak * leak, ema)
+            states.append((ema, peak))
+        return log[["r", "o"]].assign(ema=[e for e, _ in states], peak=[p for _, p in states])
+
+    kind = losses.schema[run].dataType.simpleString()
+    log = losses.select(F.col(run).alias("r"), F.col(order).cast("bigint").alias("o"), F.col(loss).cast("double").alias("l"))
+    folded = log.groupBy("r").applyInPandas(fold, f"r {kind}, o bigint, ema double, peak double")
     gate = F.when(F.col("peak") < 1e-8, 0.05).otherwise(F.greatest(F.least(1 - F.col("ema") / (F.col("peak") + 1e-8), F.lit(1.0)), F.lit(0.05)))
-    return folded.withColumnRenamed("o", order).withColumn("gate", gate)
+    return folded.select(F.col("r").alias(run), F.col("o").alias(order), "ema", "peak", gate.alias("gate"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratapanel.functions.transforms import ELEMENTWISE, yeo_johnson, yeo_johnson_inverse
+from stratapanel.operators.quantiles import exact_quantiles
 
 FITTED = ("StandardScaler", "RobustScaler", "MinMaxScaler", "MaxAbsScaler", "YeoJohnson", "QuantileUniform", "QuantileNormal")
 NAMES = (*ELEMENTWISE, *FITTED)
@@ -114,7 +115,7 @@ def _interpolated(fit: Fit, forward: bool):
 
 
 def _fit_step(df: DataFrame, values: dict[str, Column], step: Step) -> dict[str, Fit]:
-    """Fits one step on all columns in one job (a few for a power, whose likelihood is searched)."""
+    """Fits one step on all columns in one job (a few for quantiles, and for a power, whose likelihood is searched)."""
     name, kw = step.name, step.kwargs
     if name in ELEMENTWISE:
         return {c: Fit(name) for c in values}
@@ -122,15 +123,16 @@ def _fit_step(df: DataFrame, values: dict[str, Column], step: Step) -> dict[str,
         return _fit_power(df, values)
     low, high = kw.get("feature_range", (0.0, 1.0))
     q_low, q_high = kw.get("quantile_range", (25.0, 75.0))
-    makes = {
-        "StandardScaler": lambda v: [F.avg(v), F.stddev_pop(v)],
-        "RobustScaler": lambda v: [F.percentile(v, [0.5, q_low / 100, q_high / 100])],
-        "MinMaxScaler": lambda v: [F.min(v), F.max(v)],
-        "MaxAbsScaler": lambda v: [F.max(F.abs(v))],
-        "QuantileUniform": lambda v: [F.percentile(v, np.linspace(0, 1, kw.get("n_quantiles", QUANTILES)).tolist())],
-    }
-    makes["QuantileNormal"] = makes["QuantileUniform"]
-    found = df.agg(*(F.array(*makes[name](v.cast("double"))).alias(c) if name not in ("RobustScaler", "QuantileUniform", "QuantileNormal") else makes[name](v.cast("double"))[0].alias(c) for c, v in values.items())).first()
+    if name in ("RobustScaler", "QuantileUniform", "QuantileNormal"):
+        n = kw.get("n_quantiles", QUANTILES)
+        found = exact_quantiles(df, values, [0.5, q_low / 100, q_high / 100] if name == "RobustScaler" else [i / (n - 1) for i in range(n)])
+    else:
+        makes = {
+            "StandardScaler": lambda v: [F.avg(v), F.stddev_pop(v)],
+            "MinMaxScaler": lambda v: [F.min(v), F.max(v)],
+            "MaxAbsScaler": lambda v: [F.max(F.abs(v))],
+        }
+        found = df.agg(*(F.array(*makes[name](v.cast("double"))).alias(c) for c, v in values.items())).first()
     out = {}
     for c in values:
         if found[c] is None or found[c][0] is None:

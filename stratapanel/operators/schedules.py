@@ -6,6 +6,7 @@ from functools import reduce
 from itertools import accumulate
 from math import pi
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,20 +52,26 @@ def exponential_decay(spark: SparkSession, epochs: int, lr: float, gamma: float)
 def plateau(log: DataFrame, run: str, epoch: str, value: str, lr: float, factor: float, wait: int, min_lr: float) -> DataFrame:
     """(run, epoch, lr): lowered after more than ``wait`` epochs without a new least value.
 
-    A fold over each run's epochs, which are one group.
+    A fold over each run's epochs, which are one group, in linear time.
     """
-    logged = log.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(epoch).cast("bigint").alias("e"), F.col(value).cast("double").alias("v")))).alias("log"))
-    out_type = "array<struct<e:bigint,lr:double>>"
-    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(float(lr)).alias("lr"), F.array().cast(out_type).alias("out"))
-
-    def step(s, row):
-        better = row["v"] < s["best"] * (1 - 1e-4)
-        bad = F.when(better, 0).otherwise(s["bad"] + 1)
-        cut = bad > wait
-        rate = F.when(cut, F.greatest(s["lr"] * factor, F.lit(float(min_lr)))).otherwise(s["lr"])
-        return F.struct(F.when(better, row["v"]).otherwise(s["best"]).alias("best"), F.when(cut, 0).otherwise(bad).alias("bad"), rate.alias("lr"), F.concat(s["out"], F.array(F.struct(row["e"].alias("e"), rate.alias("lr")))).alias("out"))
-
-    return logged.select(run, F.inline(F.aggregate("log", start, step, lambda s: s["out"]))).withColumnRenamed("e", epoch)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("e", kind="stable")
+        best, bad, rate, rates = float("inf"), 0, float(lr), []
+        for v in rows["v"]:
+            if v < best * (1 - 1e-4):
+                best, bad = v, 0
+            else:
+                bad += 1
+            if bad > wait:
+                rate, bad = max(rate * factor, min_lr), 0
+            rates.append(rate)
+        return rows[["r", "e"]].assign(lr=rates)
+
+    kind = log.schema[run].dataType.simpleString()
+    rows = log.select(F.col(run).alias("r"), F.col(epoch).cast("bigint").alias("e"), F.col(value).cast("double").alias("v"))
+    folded = rows.groupBy("r").applyInPandas(fold, f"r {kind}, e bigint, lr double")
+    return folded.select(F.col("r").alias(run), F.col("e").alias(epoch), "lr")
 
 
 def grid(spark: SparkSession, parameters: dict[str, list]) -> DataFrame:

@@ -133,10 +133,17 @@ def lr_exponential(spark, d):
     return rounded(schedules.exponential_decay(spark, 100, 0.01, 0.95), 9)
 
 
-@query("lr_plateau")
+_PLATEAU = f"""WITH RECURSIVE {LOG}, ep AS (SELECT user_id, epoch, avg(value) AS v, row_number() OVER (PARTITION BY user_id ORDER BY epoch) AS i FROM lg GROUP BY 1, 2),
+  st AS (SELECT DISTINCT user_id, 0::INTEGER AS epoch, 0::BIGINT AS i, 'infinity'::DOUBLE AS best, 0 AS bad, 0.01::DOUBLE AS lr FROM ep
+    UNION ALL SELECT user_id, epoch, i, CASE WHEN better THEN v ELSE best END, CASE WHEN better OR bad + 1 > 3 THEN 0 ELSE bad + 1 END, CASE WHEN NOT better AND bad + 1 > 3 THEN greatest(lr * 0.5::DOUBLE, 1e-5::DOUBLE) ELSE lr END
+    FROM (SELECT e.user_id, e.epoch, e.i, e.v, st.best, st.bad, st.lr, e.v < st.best * (1 - 1e-4::DOUBLE) AS better FROM st JOIN ep e ON e.user_id = st.user_id AND e.i = st.i + 1))
+  SELECT user_id, epoch::BIGINT AS epoch, round(lr, 12) AS lr FROM st WHERE i > 0"""
+
+
+@query("lr_plateau", _PLATEAU)
 def lr_plateau(spark, d):
     rows = log(spark, d).groupBy("user_id", "epoch").agg(F.avg("value").alias("v"))
-    return rounded(schedules.plateau(rows, "user_id", "epoch", "v", 0.01, 0.5, 3, 1e-5), 9)
+    return rounded(schedules.plateau(rows, "user_id", "epoch", "v", 0.01, 0.5, 3, 1e-5), 12)
 
 
 @query("grid_expansion", "SELECT a.x AS lr, b.x AS batch_size, c.x AS dropout FROM (VALUES ('0.001'), ('0.0003')) a(x), (VALUES ('32'), ('64'), ('128')) b(x), (VALUES ('0.1'), ('0.3')) c(x)")

@@ -191,7 +191,13 @@ def demeaned_errors(spark, d):
     return rounded(pairs(spark, d).select("s", "k", (e - F.avg(e).over(Window.partitionBy("s"))).alias("shape")))
 
 
-@query("gate_states")
+_GATES = f"""WITH RECURSIVE {PAIRS}, ls AS (SELECT s, k, e * e AS l, row_number() OVER (PARTITION BY s ORDER BY k) AS i FROM pr),
+  st AS (SELECT s, k, i, l AS ema, l AS peak FROM ls WHERE i = 1
+    UNION ALL SELECT s, k, i, ema, greatest(peak * 0.999::DOUBLE, ema) FROM (SELECT n.s, n.k, n.i, st.ema + 0.05::DOUBLE * (n.l - st.ema) AS ema, st.peak FROM st JOIN ls n ON n.s = st.s AND n.i = st.i + 1))
+  SELECT s, k::BIGINT AS k, round(ema, 6) AS ema, round(peak, 6) AS peak, round(CASE WHEN peak < 1e-8 THEN 0.05 ELSE greatest(least(1 - ema / (peak + 1e-8::DOUBLE), 1), 0.05) END::DOUBLE, 6) AS gate FROM st"""
+
+
+@query("gate_states", _GATES)
 def gate_states(spark, d):
     """The curriculum gate after each step of each series, taking cells' squared errors as a log of losses."""
     rows = pairs(spark, d).select("s", "k", ((F.col("p") - F.col("y")) ** 2).alias("l"))

@@ -79,7 +79,15 @@ def scale_group_routing(spark, d):
     return rounded(scaler.fit(panel.between(rows, DAILY, *DAYS.train)).transform(rows))
 
 
-@query("scale_quantile_uniform")
+#: Ranks between the first and the last of 1,000 quantiles that equal a value, or between the two beside it.
+_UNIFORM = f"""WITH {PD}, b AS (SELECT day_id, user_id, y AS x FROM pd), t AS (SELECT list(x ORDER BY x) AS v, count(*) AS n FROM b WHERE {TRAIN}),
+  p AS (SELECT i, i::DOUBLE / 999 * (n - 1) AS place, v FROM t, range(1000) s(i)),
+  g AS (SELECT i, v[floor(place)::BIGINT + 1] + (v[ceil(place)::BIGINT + 1] - v[floor(place)::BIGINT + 1]) * (place - floor(place)) AS q FROM p),
+  k AS (SELECT q, min(i) AS low, max(i) AS high, lead(q) OVER (ORDER BY q) AS after FROM g GROUP BY q)
+  SELECT day_id, user_id, round(CASE WHEN q IS NULL THEN 0 WHEN x = q THEN (low + high) / 2.0::DOUBLE / 999 WHEN after IS NULL THEN 1 ELSE (high + (x - q) / (after - q)) / 999 END, 6)::DOUBLE AS y FROM b ASOF LEFT JOIN k ON b.x >= k.q"""
+
+
+@query("scale_quantile_uniform", _UNIFORM)
 def scale_quantile_uniform(spark, d):
     return _scaled("QuantileUniform")(spark, d)
 
@@ -89,7 +97,27 @@ def scale_quantile_normal(spark, d):
     return _scaled("QuantileNormal")(spark, d)
 
 
-@query("scale_yeo_johnson")
+def _power_sql(lam: str) -> str:
+    up = f"CASE WHEN {lam} = 0 THEN ln(1 + x) ELSE (pow(x + 1, {lam}) - 1) / nullif({lam}, 0) END"
+    down = f"CASE WHEN {lam} = 2 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - {lam}) - 1) / nullif(2 - {lam}, 0) END"
+    return f"CASE WHEN x >= 0 THEN {up} ELSE {down} END"
+
+
+def _likelihood_search_sql(rounds: int = 4) -> str:
+    """The power by rounds of 17 candidates, each round between the neighbours of the best one before."""
+    ctes = ["r0 AS (SELECT -3.0::DOUBLE AS low, 5.0::DOUBLE AS high)"]
+    for i in range(1, rounds + 1):
+        ctes.append(f"s{i} AS (SELECT i, lam, (lam - 1) * sum(sign(x) * ln(1 + abs(x))) - count(x) / 2.0::DOUBLE * ln(greatest(var_pop({_power_sql('lam')}), 1e-300::DOUBLE)) AS score FROM (SELECT i, low + i * ((high - low) / 16) AS lam FROM r{i - 1}, range(17) t(i)), b WHERE {TRAIN} GROUP BY i, lam)")
+        ctes.append(f"r{i} AS (SELECT min(lam) AS low, max(lam) AS high FROM s{i} WHERE abs(i - (SELECT arg_max(i, score) FROM s{i})) <= 1)")
+    return ", ".join(ctes) + f", pw AS (SELECT (low + high) / 2 AS lam FROM r{rounds})"
+
+
+_YEO_JOHNSON = f"""WITH {PD}, b AS (SELECT day_id, user_id, y AS x FROM pd), {_likelihood_search_sql()},
+  z AS (SELECT day_id, user_id, {_power_sql('lam')} AS z FROM b, pw), f AS (SELECT avg(z) AS c, CASE WHEN stddev_pop(z) = 0 THEN 1 ELSE stddev_pop(z) END AS s FROM z WHERE {TRAIN})
+  SELECT day_id, user_id, round((z - c) / s, 6) + 0.0::DOUBLE AS y FROM z, f"""
+
+
+@query("scale_yeo_johnson", _YEO_JOHNSON)
 def scale_yeo_johnson(spark, d):
     return _scaled("YeoJohnson")(spark, d)
 

@@ -78,3 +78,29 @@ def test_artifact(spark, frame, tmp_path):
     assert load_scaler(spark, str(tmp_path / "s"), spec).parameters() == scaler.parameters()
     with pytest.raises(ValueError):
         load_scaler(spark, str(tmp_path / "s"), "StandardScaler")
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from stratapanel.operators import quantiles
+
+    rng = random.Random(5)
+    rows = [(rng.choice([0.0, 0.0, 1.0, rng.lognormvariate(0, 4)]), float(i % 7), None, None if i % 3 else -float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    values = {name: F.col(name) for name in "abcd"}
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    for bins in (1024, 8):  # also with many values in a bin
+        monkeypatch.setattr(quantiles, "BINS", bins)
+        got = quantiles.exact_quantiles(df, values, probabilities)
+        assert got["c"] is None
+        for i, name in enumerate("abcd"):
+            if name != "c":
+                assert got[name] == pytest.approx(np.quantile([r[i] for r in rows if r[i] is not None], probabilities).tolist())
+    held = quantiles.exact_quantiles(df, {"a": F.col("a")}, [0.5, 0.999], discrete=True)["a"]
+    assert held == np.quantile([r[0] for r in rows], [0.5, 0.999], method="inverted_cdf").tolist()
+    assert quantiles.exact_quantiles(df.where("false"), values, [0.5]) == dict.fromkeys("abcd")
+    nans = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "a double")
+    assert quantiles.exact_quantiles(nans, {"a": F.col("a")}, [0.0, 0.5]) == {"a": [1.0, 2.0]}
