@@ -52,6 +52,21 @@ def lagged(panel: DataFrame, spec: PanelSpec, column: str, lag: int, name: str =
     return panel.withColumn(name, F.lag(column, lag).over(order)).where(F.col(name).isNotNull())
 
 
+def _design(from_last: bool, kernel_size: int):
+    """A closure, which travels to executors by value: they need no copy of this package."""
+
+    def design(x):
+        ones = np.ones((len(x), 1))
+        if from_last:
+            last = x[:, -1:]
+            return np.hstack((x - last, ones)), last
+        padded = np.hstack((np.repeat(x[:, :1], (kernel_size - 1) // 2, axis=1), x, np.repeat(x[:, -1:], kernel_size // 2, axis=1)))
+        trend = np.lib.stride_tricks.sliding_window_view(padded, kernel_size, axis=1).mean(axis=2)
+        return np.hstack((trend, x - trend, ones)), np.zeros((len(x), 1))
+
+    return design
+
+
 class LinearForecaster:
     """Ridge regression from windows of inputs to all output steps, shared by all entities.
 
@@ -70,16 +85,10 @@ class LinearForecaster:
         self.weights: np.ndarray | None = None
         self.residuals: np.ndarray | None = None
 
-    def design(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Regressors and the offset that is added to all outputs, for rows of inputs."""
-        ones = np.ones((len(x), 1))
-        if self.algorithm == "NLinearModel":
-            last = x[:, -1:]
-            return np.hstack((x - last, ones)), last
-        k = self.kernel_size
-        padded = np.hstack((np.repeat(x[:, :1], (k - 1) // 2, axis=1), x, np.repeat(x[:, -1:], k // 2, axis=1)))
-        trend = np.lib.stride_tricks.sliding_window_view(padded, k, axis=1).mean(axis=2)
-        return np.hstack((trend, x - trend, ones)), np.zeros((len(x), 1))
+    @property
+    def design(self):
+        """Function from rows of inputs to regressors and the offset that is added to all outputs."""
+        return _design(self.algorithm == "NLinearModel", self.kernel_size)
 
     def fit(self, panel: DataFrame, spec: PanelSpec, column: str, train: tuple[int, int]) -> LinearForecaster:
         windows = training_windows(panel, spec, column, self.input_length, self.output_length, time_range=train)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratapanel.operators.quantiles import exact_quantiles
+from stratapanel.operators.quantiles import exact_quantiles, in_bins
 
 
 def scored(predictions: DataFrame, actuals: DataFrame, keys: list[str], prediction: str, actual: str) -> DataFrame:
@@ -86,15 +86,16 @@ def average_precision(cells: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Area under precision over recall of y > threshold ranked by p; equal scores are one rank.
 
     Scores are summed up first, so the ranking has a row for each distinct score; the
-    running counts are offsets of range partitions plus counts within them.
+    running counts are those of the bins above plus counts within a bin.  Null scores
+    rank last.
     """
-    scores = cells.groupBy(F.col("p").cast("double").alias("p")).agg(F.count("*").alias("n"), F.count_if(F.col("y") > threshold).alias("hits"))
-    parts = scores.sort(F.desc("p")).withColumn("part", F.spark_partition_id())
-    totals = parts.groupBy("part").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("hits").over(before), F.lit(0)).alias("h0"))
-    within = Window.partitionBy("part").orderBy(F.desc("p"))
-    run = parts.join(F.broadcast(offsets), "part").withColumn("seen", F.col("n0") + F.sum("n").over(within)).withColumn("found", F.col("h0") + F.sum("hits").over(within))
+    scores = cells.groupBy(F.lit(0).alias("c"), F.col("p").cast("double").alias("x")).agg(F.count("*").alias("n"), F.count_if(F.col("y") > threshold).alias("hits"))
+    binned = in_bins(scores)
+    totals = binned.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bin
+    offsets = totals.select("bin", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("h0"))
+    within = Window.partitionBy("bin").orderBy(F.desc("x"))
+    run = binned.join(F.broadcast(offsets), "bin").withColumn("seen", F.col("n0") + F.sum("n").over(within)).withColumn("found", F.col("h0") + F.sum("hits").over(within))
     return run.agg((F.sum(F.col("hits") * F.col("found") / F.col("seen")) / F.sum("hits")).alias("average_precision"))
 
 

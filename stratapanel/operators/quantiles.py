@@ -22,6 +22,18 @@ def _bin(x: Column, bounds: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda low, s: F.when(F.get(bounds, low + s - 1) <= x, low + s).otherwise(low))
 
 
+def in_bins(counts: DataFrame, columns: int = 1) -> DataFrame:
+    """Rows (c, x, ...), x distinct for each c, with the bin of x: bins are in order of x and hold about as many rows each.
+
+    The bounds are read first, so a row's bin is the same in every plan that uses the result.
+    """
+    even = [k / BINS for k in range(1, BINS)]
+    sketches = counts.where(~F.isnan("x")).groupBy("c").agg(F.percentile_approx("x", even, 10 * BINS).alias("bounds")).collect()
+    bounds = {r["c"]: sorted(set(r["bounds"])) for r in sketches}
+    edges = counts.sparkSession.createDataFrame([(i, bounds.get(i, [])) for i in range(columns)], "c int, bounds array<double>")
+    return counts.join(F.broadcast(edges), "c").select(*counts.columns, _bin(F.col("x"), F.col("bounds")).alias("bin"))
+
+
 def _ranks(n: int, p: float, discrete: bool) -> tuple[int, int, float]:
     """The two ranks (from 0) that a quantile lies between, and how far."""
     if discrete:  # the first value whose share of rows at or below it reaches p
@@ -42,11 +54,7 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probabilities: lis
     cells = df.select(F.inline(F.array(*(F.struct(F.lit(i).alias("c"), values[c].cast("double").alias("x")) for i, c in enumerate(names)))))
     counts = cells.where("x IS NOT NULL").groupBy("c", "x").agg(F.count("*").alias("n")).persist()
     try:
-        even = [k / BINS for k in range(1, BINS)]
-        sketches = counts.where(~F.isnan("x")).groupBy("c").agg(F.percentile_approx("x", even, 10 * BINS).alias("bounds")).collect()
-        bounds = {r["c"]: sorted(set(r["bounds"])) for r in sketches}
-        edges = df.sparkSession.createDataFrame([(i, bounds.get(i, [])) for i in range(len(names))], "c int, bounds array<double>")
-        binned = counts.join(F.broadcast(edges), "c").select("c", "x", "n", _bin(F.col("x"), F.col("bounds")).alias("bin"))
+        binned = in_bins(counts, len(names))
         totals: dict[int, list[tuple[int, int]]] = {}
         for r in binned.groupBy("c", "bin").agg(F.sum("n").alias("n")).sort("c", "bin").collect():
             totals.setdefault(r["c"], []).append((r["bin"], r["n"]))

@@ -155,6 +155,21 @@ def test_metrics(spark):
     assert metrics.sample_metrics(s, "x").first()["crps"] == pytest.approx((1 + 0 + 3) / 3 - pairs)
 
 
+def test_average_precision_of_ties_and_nulls(spark):
+    rows = [(0.9, 1.0), (0.9, 0.0), (0.5, 1.0), (None, 1.0), (0.1, 0.0)]
+    got = metrics.average_precision(spark.createDataFrame(rows, "p double, y double")).first()[0]
+    assert got == pytest.approx((1 * 1 / 2 + 1 * 2 / 3 + 1 * 3 / 5) / 3)
+
+
+def test_gates_and_plateau_step_by_step(spark):
+    log = spark.createDataFrame([("a", i, v) for i, v in enumerate([4.0, 2.0, None, 6.0])] + [("b", 0, None)], "run string, i long, l double")
+    got = {(r["run"], r["i"]): (r["ema"], r["peak"]) for r in robust_losses.gates(log, "i", "l", "run", 0.5, 0.9).collect()}
+    assert got["a", 1] == pytest.approx((3, 3.6)) and got["a", 2] == pytest.approx((3, 3.24)) and got["a", 3] == pytest.approx((4.5, 4.5))
+    assert got["b", 0] == (None, 0)
+    rates = schedules.plateau(spark.createDataFrame([("a", i, v) for i, v in enumerate([1.0, 2.0, 2.0, 0.5, 0.5])], "run string, i long, v double"), "run", "i", "v", 0.1, 0.5, 1, 0.06)
+    assert [r["lr"] for r in rates.orderBy("i").collect()] == pytest.approx([0.1, 0.1, 0.06, 0.06, 0.06])
+
+
 def test_reweighting_has_mean_one(frame):
     rows = frame.select("entity", "month_id", (F.col("y") + 0.1).alias("l"))
     assert robust_losses.reweighted(rows, "l").agg(F.avg("w")).first()[0] == pytest.approx(1)
