@@ -9,6 +9,7 @@ of them salted, and the counts go back to the documents.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 import numpy as np
@@ -17,9 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratapanel.llm.common import cut, documents
-from stratapanel.llm.token_counts import byte_symbols
+from stratapanel.llm.token_counts import PIECES, byte_symbols
 
-#: Texts longer than this are given to the tokenizers in parts, each cut before a space where both sides start a token.
+#: Texts of this length are given to the tokenizers in parts, each cut at a space where both sides start a token.
 PART_CHARS = 1 << 18
 _BOUNDARY = re.compile(r"(?<=\S) (?=[A-Za-z])")
 #: Salts of the first shuffle, and of the join where the counts aren't sent to all tasks.
@@ -31,7 +32,7 @@ ROWS = 512
 def parts(text: str):
     """Parts of ``text`` and the single spaces that are left out between them."""
     at = 0
-    while len(text) - at > PART_CHARS and (m := _BOUNDARY.search(text, at + PART_CHARS)):
+    while len(text) - at >= PART_CHARS and (m := _BOUNDARY.search(text, at + PART_CHARS // 2)):
         yield text[at : m.start()]
         at = m.end()
     yield text[at:]
@@ -56,17 +57,35 @@ RULES = {
 }
 
 
+def same_merges(path: str, entries: dict[int, bytes]):
+    """An encoder by ranks that gives the ids of the byte-level vocabulary in ``path``; None if its ids aren't in the order of its merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, added = spec["model"]["vocab"], {t["id"] for t in spec["added_tokens"]}
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    if spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or spec["normalizer"] or merged != sorted(set(merged)):
+        return None
+    return tiktoken.Encoding("same merges", pat_str=PIECES, mergeable_ranks={b: i for i, b in entries.items() if i not in added}, special_tokens={})
+
+
 class Sides:
-    """Both tokenizers, and the bytes of each of their tokens."""
+    """Both tokenizers, and the bytes of each of their tokens.
+
+    Where the vocabulary of A allows it, parts of at most PART_CHARS are encoded by ranks, in a
+    third of the time; the library of A encodes longer ones, whose repeats can exhaust the other's stack.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
-        self.a.encode_special_tokens = True
+        self.library, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
+        self.library.encode_special_tokens = True
         back = {c: b for b, c in byte_symbols().items()}
-        entries = {i: bytes(map(back.__getitem__, entry)) for entry, i in self.a.get_vocab().items()}
+        entries = {i: bytes(map(back.__getitem__, entry)) for entry, i in self.library.get_vocab().items()}
+        self.by_ranks = same_merges(a_path, entries)
         self.a_bytes = [entries.get(i, b"") for i in range(max(entries) + 1)]
         pieces = [(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces]
@@ -79,13 +98,18 @@ class Sides:
         """Pairs of ids that can end together: one token's bytes end the other's."""
         return int(self.a_size.sum() + self.b_size.sum())
 
+    def a(self, text: str) -> list[int]:
+        if self.by_ranks is None or len(text) > PART_CHARS:
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.by_ranks.encode_ordinary(text)
+
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of space and text by A, of text by B; none if either side's bytes aren't space and text."""
         a: list[int] = []
         b: list[int] = []
         for part in parts(text) if text else ():
             whole = " " + part
-            x, y = self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(part)
+            x, y = self.a(whole), self.b.encode(part)
             data = whole.encode()
             if b"".join(map(self.a_bytes.__getitem__, x)) != data or b"".join(map(self.b_bytes.__getitem__, y)) != data:
                 return np.zeros(0, np.int64), np.zeros(0, np.int64)

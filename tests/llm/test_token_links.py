@@ -93,6 +93,17 @@ def test_parts_of_long_texts(sides, monkeypatch):
     assert list(m.parts("x" * 500)) == ["x" * 500]
 
 
+def test_ranks_give_the_ids_of_the_library(sides, monkeypatch):
+    """All code points beside letters, digits, marks and spaces (every 37th here; a full pass found no difference), and long repeats."""
+    assert sides.by_ranks is not None
+    points = [chr(c) for c in range(0, 0x110000, 37) if not 0xD800 <= c < 0xE000]
+    texts = [" " + "".join(f"a{c}b {c}{c} 1{c} .{c}!  {c} x" for c in points[k : k + 500]) for k in range(0, len(points), 500)]
+    texts += [" " + x * 3000 for x in ("a", "ab", " ", ".", "é", " \n", "'s", "<|endoftext|>")]
+    fast = [sides.a(t) for t in texts]
+    monkeypatch.setattr(m, "PART_CHARS", 0)
+    assert fast == [sides.a(t) for t in texts]
+
+
 def test_pieces_never_join_over_a_space(sides):
     """What the parts rely on: no piece holds a space after another character."""
     assert not [p for p in sides.b_bytes if b" " in p.lstrip(b" ")]
