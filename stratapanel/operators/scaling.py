@@ -177,7 +177,7 @@ class Scaler:
     """One scaler or chain for some columns: ``fit`` reads rows, the rest are expressions."""
 
     def __init__(self, spec, columns: list[str]):
-        self.steps, self.columns = parse_chain(spec), list(columns)
+        self.spec, self.steps, self.columns = spec, parse_chain(spec), list(columns)
         self.fits: dict[str, list[Fit]] | None = None
 
     def fit(self, df: DataFrame) -> Scaler:
@@ -239,6 +239,7 @@ class GroupedScaler:
         rest = [c for c in all_columns or [] if c not in seen]
         if rest:
             routes.append((default, rest))
+        self.groups, self.default = groups, default
         self.scalers = [Scaler(spec, columns) for spec, columns in routes if columns]
 
     def mapping(self) -> dict[str, str]:
@@ -267,17 +268,36 @@ class GroupedScaler:
         return self.fit(df).transform(df)
 
 
-def save_scaler(spark: SparkSession, scaler: Scaler, spec, path: str) -> None:
+def _fits_of(parameters: dict) -> dict[str, list[Fit]]:
+    return {c: [Fit(**(f | {"quantiles": tuple(f["quantiles"])})) for f in fits] for c, fits in parameters.items()}
+
+
+def scaler_state(scaler: Scaler | GroupedScaler) -> dict:
+    """What JSON can hold of a fitted scaler, or of a group of them with its routing."""
+    if isinstance(scaler, Scaler):
+        return {"spec": scaler.spec, "columns": scaler.columns, "parameters": scaler.parameters()}
+    return {"spec": scaler.groups, "default": scaler.default, "members": [scaler_state(s) for s in scaler.scalers]}
+
+
+def scaler_from_state(state: dict) -> Scaler | GroupedScaler:
+    if "members" not in state:
+        scaler = Scaler(state["spec"], state["columns"])
+        scaler.fits = _fits_of(state["parameters"])
+        return scaler
+    grouped = GroupedScaler(state["spec"], state["default"])
+    grouped.scalers = [scaler_from_state(s) for s in state["members"]]
+    return grouped
+
+
+def save_scaler(spark: SparkSession, scaler: Scaler | GroupedScaler, spec, path: str) -> None:
     """Writes specification and parameters to a one-row table, on any file system that Spark writes to."""
-    row = json.dumps({"spec": spec, "columns": scaler.columns, "parameters": scaler.parameters()})
+    row = json.dumps(scaler_state(scaler) | {"spec": spec})
     spark.createDataFrame([(row,)], "artifact string").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load_scaler(spark: SparkSession, path: str, expected_spec=None) -> Scaler:
+def load_scaler(spark: SparkSession, path: str, expected_spec=None) -> Scaler | GroupedScaler:
     """Reads a saved scaler; raises if it was fitted with another specification than expected."""
     saved = json.loads(spark.read.parquet(path).first()["artifact"])
-    if expected_spec is not None and saved["spec"] != expected_spec:
+    if expected_spec is not None and saved["spec"] != json.loads(json.dumps(expected_spec)):
         raise ValueError(f"the saved scaler is {saved['spec']!r}, the configured one {expected_spec!r}")
-    scaler = Scaler(saved["spec"], saved["columns"])
-    scaler.fits = {c: [Fit(**(f | {"quantiles": tuple(f["quantiles"])})) for f in fits] for c, fits in saved["parameters"].items()}
-    return scaler
+    return scaler_from_state(saved)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapanel.operators.panel import between
@@ -23,25 +25,54 @@ def origins_of_rows(panel: DataFrame, spec: PanelSpec, test_start: int, input_le
     return served.withColumn("step", t - (F.lit(test_start - input_length) + F.col("sequence_number")))
 
 
-def origin_windows(panel: DataFrame, spec: PanelSpec, column: str, test_start: int, input_length: int, sequences: int) -> DataFrame:
-    """One row for each entity and origin with a full window: the values in time order."""
+def _vector(features: Sequence[str]) -> Column:
+    """The features of one row as an array; nulls count as 0."""
+    return F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features))
+
+
+def origin_windows(panel: DataFrame, spec: PanelSpec, column: str, test_start: int, input_length: int, sequences: int, features: Sequence[str] = ()) -> DataFrame:
+    """One row for each entity and origin with a full window: the values in time order.
+
+    With ``features``, ``past`` holds them for all steps of the inputs, step after step.
+    """
     rows = origins_of_rows(panel, spec, test_start, input_length, sequences)
-    windows = rows.groupBy(spec.entity, "sequence_number").agg(F.array_sort(F.collect_list(F.struct("step", F.col(column).alias("y")))).alias("w"))
-    return windows.where(F.size("w") == input_length).select(spec.entity, "sequence_number", (F.lit(test_start) + F.col("sequence_number")).alias("origin"), F.col("w.y").alias("inputs"))
+    cells = [F.col(column).alias("y"), *([_vector(features).alias("x")] if features else [])]
+    windows = rows.groupBy(spec.entity, "sequence_number").agg(F.array_sort(F.collect_list(F.struct("step", *cells))).alias("w"))
+    past = [F.flatten("w.x").alias("past")] if features else []
+    return windows.where(F.size("w") == input_length).select(spec.entity, "sequence_number", (F.lit(test_start) + F.col("sequence_number")).alias("origin"), F.col("w.y").alias("inputs"), *past)
 
 
-def training_windows(panel: DataFrame, spec: PanelSpec, column: str, input_length: int, output_length: int, shift: int = 0, time_range: tuple[int, int] | None = None) -> DataFrame:
+def training_windows(panel: DataFrame, spec: PanelSpec, column: str, input_length: int, output_length: int, shift: int = 0, time_range: tuple[int, int] | None = None, features: Sequence[str] = ()) -> DataFrame:
     """Every run of consecutive times with room for inputs and outputs: (entity, start, inputs, outputs).
 
-    ``shift`` steps lie between inputs and outputs.
+    ``shift`` steps lie between inputs and outputs.  With ``features``, ``past`` holds them
+    for the steps of the inputs alone, step after step, so that no later value is read.
     """
     if time_range is not None:
         panel = between(panel, spec, *time_range)
     length = input_length + shift + output_length
     ahead = Window.partitionBy(spec.entity).orderBy(spec.time).rowsBetween(0, length - 1)
-    rows = panel.select(spec.entity, F.col(spec.time).alias("start"), F.collect_list(F.col(column)).over(ahead).alias("w"), F.max(spec.time).over(ahead).alias("last"))
+    inputs = Window.partitionBy(spec.entity).orderBy(spec.time).rowsBetween(0, input_length - 1)
+    past = [F.flatten(F.collect_list(_vector(features)).over(inputs)).alias("past")] if features else []
+    rows = panel.select(spec.entity, F.col(spec.time).alias("start"), F.collect_list(F.col(column)).over(ahead).alias("w"), F.max(spec.time).over(ahead).alias("last"), *past)
     full = rows.where((F.size("w") == length) & (F.col("last") == F.col("start") + (length - 1)))
-    return full.select(spec.entity, "start", F.slice("w", 1, input_length).alias("inputs"), F.slice("w", input_length + shift + 1, output_length).alias("outputs"))
+    return full.select(spec.entity, "start", F.slice("w", 1, input_length).alias("inputs"), F.slice("w", input_length + shift + 1, output_length).alias("outputs"), *(["past"] if features else []))
+
+
+#: Entities whose static covariates are sent to all tasks.
+STATIC_ROWS = 100_000
+
+
+def with_static(windows: DataFrame, spec: PanelSpec, static: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds ``static``: the entity's columns, 0 where it has none.
+
+    ``static`` has a row for each entity, and is sent to all tasks if a count shows that
+    it is small; else both sides are shuffled.
+    """
+    rows = static.select(spec.entity, _vector(columns).alias("static"))
+    if static.count() <= STATIC_ROWS:
+        rows = F.broadcast(rows)
+    return windows.join(rows, spec.entity, "left").withColumn("static", F.coalesce("static", F.array(*(F.lit(0.0) for _ in columns))))
 
 
 def forecast_grid(entities: DataFrame, spec: PanelSpec, first: int, steps: int, sequences: int = 1) -> DataFrame:

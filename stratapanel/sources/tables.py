@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,18 @@ from stratapanel.operators import audit
 from stratapanel.spec import PanelSpec
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: the one in spark.checkpoint.dir, or a throw-away one in local sessions."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is not None:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    made = tempfile.mkdtemp(prefix="shared-")
+    atexit.register(shutil.rmtree, made, True)
+    return made
+
+
 def panel_path(root: str, run_type: str, stem: str = "panel", extension: str = ".parquet") -> str:
     return f"{root.rstrip('/')}/{run_type}_{stem}{extension}"
 
