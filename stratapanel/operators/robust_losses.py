@@ -12,11 +12,11 @@ from dataclasses import dataclass
 from functools import reduce
 from math import cos, pi, sin
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapanel.functions.elementary import asinh, log_cosh, repaired, silu
+from stratapanel.operators.scans import leaking_peak, moving_average, scan, spread
 
 # Frame length and hop of each spectral resolution.
 RESOLUTIONS = ((6, 3), (12, 6), (24, 12))
@@ -214,26 +214,15 @@ def sentinel_loss(df: DataFrame, series: str, step: str, prediction: str, truth:
     return rows.agg(point.alias("point"), F.coalesce(change, F.lit(0.0)).alias("change")).withColumn("total", F.col("point") + F.col("change"))
 
 
-def gates(losses: DataFrame, order: str, loss: str, run: str, momentum: float = 0.05, leak: float = 0.999) -> DataFrame:
-    """Adds ema, peak and gate after each batch of a run: a fold in batch order.
+def gates(losses: DataFrame, order: str, loss: str, run: str, momentum: float = 0.05, leak: float = 0.999, partitions: int | None = None) -> DataFrame:
+    """Adds ema, peak and gate after each batch of a run: two folds in batch order.
 
-    The fold isn't associative, so the batches of one run (a training log) are one
-    group, sorted and folded once, in linear time.  A loss that is null or NaN leaves
-    the mean as it was.
+    The mean's step is an affine map and the peak's the larger of two lines; both compose,
+    so a run of any length is folded over many partitions (``scans``).  A loss that is null
+    or NaN leaves the mean as it was.
     """
-
-    def fold(log: pd.DataFrame) -> pd.DataFrame:
-        log = log.sort_values("o", kind="stable")
-        ema, peak, states = None, 0.0, []
-        for value in log["l"]:
-            if value == value:
-                ema = value if ema is None else ema + momentum * (value - ema)
-            peak = peak * leak if ema is None else max(peak * leak, ema)
-            states.append((ema, peak))
-        return log[["r", "o"]].assign(ema=[e for e, _ in states], peak=[p for _, p in states])
-
-    kind = losses.schema[run].dataType.simpleString()
     log = losses.select(F.col(run).alias("r"), F.col(order).cast("bigint").alias("o"), F.col(loss).cast("double").alias("l"))
-    folded = log.groupBy("r").applyInPandas(fold, f"r {kind}, o bigint, ema double, peak double")
+    means = scan(spread(log, "r", "o", ["l"], partitions), moving_average(momentum), "l", "ema")
+    folded = scan(means, leaking_peak(leak), "ema", "peak")
     gate = F.when(F.col("peak") < 1e-8, 0.05).otherwise(F.greatest(F.least(1 - F.col("ema") / (F.col("peak") + 1e-8), F.lit(1.0)), F.lit(0.05)))
     return folded.select(F.col("r").alias(run), F.col("o").alias(order), "ema", "peak", gate.alias("gate"))
