@@ -7,21 +7,21 @@ for each column, so transforms and inverses are plain column expressions.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratapanel.functions.normal import normal_cdf, normal_quantile, once
 from stratapanel.functions.transforms import ELEMENTWISE, yeo_johnson, yeo_johnson_inverse
 from stratapanel.operators.quantiles import exact_quantiles
 
 FITTED = ("StandardScaler", "RobustScaler", "MinMaxScaler", "MaxAbsScaler", "YeoJohnson", "QuantileUniform", "QuantileNormal")
 NAMES = (*ELEMENTWISE, *FITTED)
-#: Quantiles of the quantile scalers, and how far their normal scores reach.
-QUANTILES, SCORE_BOUND = 1000, -NormalDist().inv_cdf(1e-7)
+#: Quantiles of the quantile scalers, and the least share that a normal score stands for.
+QUANTILES, LEAST_SHARE = 1000, 1e-7
 
 
 @dataclass(frozen=True)
@@ -86,32 +86,43 @@ class Fit:
         return x if self.power is None else yeo_johnson_inverse(x, self.power)
 
 
-def _interpolated(fit: Fit, forward: bool):
-    """Empirical distribution function of a quantile fit, or its inverse, in Arrow batches."""
-    grid, refs = np.array(fit.quantiles), np.linspace(0, 1, len(fit.quantiles))
-    normal, bound = fit.name == "QuantileNormal", SCORE_BOUND
+def _places(x: Column, grid: Column, n: int, at_most: bool) -> Column:
+    """How many of the n sorted values are below x (or at most x), by binary search."""
+    steps = F.array(*(F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)))
+    taken = (lambda v: v <= x) if at_most else (lambda v: v < x)
+    return F.aggregate(steps, F.lit(0), lambda low, s: F.when(taken(F.get(grid, low + s - 1)), low + s).otherwise(low))
 
-    def up(x: pd.Series) -> pd.Series:
-        v = x.to_numpy(np.float64, na_value=np.nan)
-        # ties: between the first and the last rank of a repeated quantile
-        p = (np.interp(v, grid, refs) - np.interp(-v, -grid[::-1], -refs[::-1])) / 2
-        if normal:
-            table = np.linspace(0, 1, 20_001)[1:-1]
-            scores = np.array([NormalDist().inv_cdf(q) for q in table])
-            inner = (p > table[0]) & (p < table[-1])
-            p = np.where(inner, np.interp(p, table, scores), np.array([NormalDist().inv_cdf(min(max(q, 1e-7), 1 - 1e-7)) if q == q else q for q in np.where(inner, 0.5, p)]))
-            p = np.clip(p, -bound, bound)
-        return pd.Series(np.where(np.isnan(v), np.nan, p))
-
-    def down(z: pd.Series) -> pd.Series:
-        v = z.to_numpy(np.float64, na_value=np.nan)
+
+def _interpolated(fit: Fit, forward: bool) -> Callable[[Column], Column]:
+    """Empirical distribution function of a quantile fit, or its inverse, as a column expression.
+
+    A value that some quantiles equal lies between the first and the last of their ranks.
+    """
+    n, normal = len(fit.quantiles), fit.name == "QuantileNormal"
+    grid = F.split(F.lit(",".join(map(repr, fit.quantiles))), ",").cast("array<double>")  # folded to one constant
+
+    def rank(x: Column, below: Column, upto: Column) -> Column:
+        left, right = F.get(grid, upto - 1), F.get(grid, upto)
+        between = upto - 1 + (x - left) / (right - left)
+        return F.when(upto > below, (below + upto - 1) / 2).when(upto == 0, 0.0).when(upto == n, float(n - 1)).otherwise(between) / (n - 1)
+
+    def up(x: Column) -> Column:
+        p = once(_places(x, grid, n, False), lambda below: once(_places(x, grid, n, True), lambda upto: rank(x, below, upto)))
         if normal:
-            cdf = NormalDist().cdf
-            v = np.array([cdf(x) if x == x else x for x in v])
-            v = np.where(v <= 1.1e-7, 0.0, np.where(v >= 1 - 1.1e-7, 1.0, v))
-        return pd.Series(np.where(np.isnan(v), np.nan, np.interp(v, refs, grid)))
+            p = normal_quantile(F.greatest(F.least(p, F.lit(1 - LEAST_SHARE)), F.lit(LEAST_SHARE)))
+        return F.when(x.isNull() | F.isnan(x), x).otherwise(p)
+
+    def between(p: Column, left: Column) -> Column:
+        a, b = F.get(grid, left), F.get(grid, left + 1)
+        return a + (b - a) * (p - left)
+
+    def down(z: Column) -> Column:
+        edge = 1.1 * LEAST_SHARE if normal else 0.0
+        share = once(normal_cdf(z) if normal else z, lambda p: F.when(p <= edge, 0.0).when(p >= 1 - edge, 1.0).otherwise(p) * (n - 1))
+        x = once(share, lambda p: once(F.least(F.floor(p), F.lit(n - 2)).cast("int"), lambda left: between(p, left)))
+        return F.when(z.isNull() | F.isnan(z), z).otherwise(x)
 
-    return F.pandas_udf(up if forward else down, "double")
+    return (lambda x: once(x, up)) if forward else (lambda z: once(z, down))
 
 
 def _fit_step(df: DataFrame, values: dict[str, Column], step: Step) -> dict[str, Fit]:
@@ -212,7 +223,7 @@ class Scaler:
         return df.withColumns({c: self.backward(c, F.col(c).cast("double")) for c in self.columns})
 
     def inverse_samples(self, df: DataFrame, column: str, samples: str) -> DataFrame:
-        """Inverts an array of samples; for chains of column expressions (not quantile scalers)."""
+        """Inverts each sample of an array."""
         return df.withColumn(samples, F.transform(samples, lambda z: self.backward(column, z.cast("double"))))
 
     def parameters(self) -> dict:

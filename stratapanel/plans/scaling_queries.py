@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stratapanel.functions import normal
 from stratapanel.functions.transforms import log_target, unlog_target
 from stratapanel.operators import panel
 from stratapanel.operators.scaling import GroupedScaler, Scaler
@@ -80,11 +81,31 @@ def scale_group_routing(spark, d):
 
 
 #: Ranks between the first and the last of 1,000 quantiles that equal a value, or between the two beside it.
-_UNIFORM = f"""WITH {PD}, b AS (SELECT day_id, user_id, y AS x FROM pd), t AS (SELECT list(x ORDER BY x) AS v, count(*) AS n FROM b WHERE {TRAIN}),
+_RANKED = f"""WITH {PD}, b AS (SELECT day_id, user_id, y AS x FROM pd), t AS (SELECT list(x ORDER BY x) AS v, count(*) AS n FROM b WHERE {TRAIN}),
   p AS (SELECT i, i::DOUBLE / 999 * (n - 1) AS place, v FROM t, range(1000) s(i)),
   g AS (SELECT i, v[floor(place)::BIGINT + 1] + (v[ceil(place)::BIGINT + 1] - v[floor(place)::BIGINT + 1]) * (place - floor(place)) AS q FROM p),
-  k AS (SELECT q, min(i) AS low, max(i) AS high, lead(q) OVER (ORDER BY q) AS after FROM g GROUP BY q)
-  SELECT day_id, user_id, round(CASE WHEN q IS NULL THEN 0 WHEN x = q THEN (low + high) / 2.0::DOUBLE / 999 WHEN after IS NULL THEN 1 ELSE (high + (x - q) / (after - q)) / 999 END, 6)::DOUBLE AS y FROM b ASOF LEFT JOIN k ON b.x >= k.q"""
+  k AS (SELECT q, min(i) AS low, max(i) AS high, lead(q) OVER (ORDER BY q) AS after FROM g GROUP BY q),
+  r AS (SELECT day_id, user_id, CASE WHEN q IS NULL THEN 0 WHEN x = q THEN (low + high) / 2.0::DOUBLE / 999 WHEN after IS NULL THEN 1 ELSE (high + (x - q) / (after - q)) / 999 END AS p FROM b ASOF LEFT JOIN k ON b.x >= k.q)"""
+_UNIFORM = f"{_RANKED} SELECT day_id, user_id, round(p, 6)::DOUBLE AS y FROM r"
+
+
+def _polynomial_sql(x: str, coefficients) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def _ratio_sql(x: str, over, under) -> str:
+    return f"{_polynomial_sql(x, over)} / {_polynomial_sql(x, under)}"
+
+
+#: Normal scores of ranks, no share below a ten-millionth.
+_SCORES = f"""{_RANKED}, c AS (SELECT day_id, user_id, greatest(least(p, 1 - 1e-7::DOUBLE), 1e-7::DOUBLE) AS p FROM r),
+  d AS (SELECT *, p - 0.5::DOUBLE AS q, 0.180625::DOUBLE - (p - 0.5::DOUBLE) * (p - 0.5::DOUBLE) AS near, sqrt(-ln(least(p, 1 - p))) AS far FROM c),
+  e AS (SELECT *, far - 1.6::DOUBLE AS middle, far - 5 AS tail FROM d)
+  SELECT day_id, user_id, round(CASE WHEN abs(q) <= 0.425::DOUBLE THEN q * {_ratio_sql('near', normal.CENTRE, normal.CENTRE_UNDER)}
+    ELSE sign(q) * CASE WHEN far <= 5 THEN {_ratio_sql('middle', normal.MIDDLE, normal.MIDDLE_UNDER)} ELSE {_ratio_sql('tail', normal.TAIL, normal.TAIL_UNDER)} END END, 6) + 0.0::DOUBLE AS y FROM e"""
 
 
 @query("scale_quantile_uniform", _UNIFORM)
@@ -92,7 +113,7 @@ def scale_quantile_uniform(spark, d):
     return _scaled("QuantileUniform")(spark, d)
 
 
-@query("scale_quantile_normal")
+@query("scale_quantile_normal", _SCORES)
 def scale_quantile_normal(spark, d):
     return _scaled("QuantileNormal")(spark, d)
 
@@ -144,3 +165,18 @@ def sample_inverse(spark, d):
     samples = panel.as_arrays(rows, DAILY, ["y"]).select("user_id", F.transform("y", lambda v: v / 400).alias("samples"))
     back = scaler.inverse_samples(samples, "y", "samples")
     return rounded(back.select("user_id", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total")), 3)
+
+
+@query(
+    "quantile_sample_inverse",
+    f"""{_RANKED}, l AS (SELECT list(q ORDER BY i) AS v FROM g), z AS (SELECT day_id, user_id, unnest([0.0::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) * p AS s FROM r),
+  a AS (SELECT day_id, user_id, v, least(floor(s * 999), 998)::BIGINT AS k, s * 999 AS place FROM z, l)
+  SELECT day_id, user_id, round(sum(v[k + 1] + (v[k + 2] - v[k + 1]) * (place - k)), 3) AS total FROM a GROUP BY 1, 2""",
+)
+def quantile_sample_inverse(spark, d):
+    """Four samples of each cell in the space of ranks, brought back by the inverse of the quantile scaler."""
+    rows = daily(spark, d).select("day_id", "user_id", "y")
+    scaler = Scaler("QuantileUniform", ["y"]).fit(panel.between(rows, DAILY, *DAYS.train))
+    ranks = scaler.transform(rows).select("day_id", "user_id", F.array(*(k * F.col("y") for k in (0.0, 0.25, 0.5, 1.0))).alias("samples"))
+    back = scaler.inverse_samples(ranks, "y", "samples")
+    return rounded(back.select("day_id", "user_id", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total")), 3)

@@ -1,3 +1,7 @@
+import math
+from statistics import NormalDist
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +108,36 @@ def test_exact_quantiles(spark, monkeypatch):
     assert quantiles.exact_quantiles(df.where("false"), values, [0.5]) == dict.fromkeys("abcd")
     nans = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "a double")
     assert quantiles.exact_quantiles(nans, {"a": F.col("a")}, [0.0, 0.5]) == {"a": [1.0, 2.0]}
+
+
+def test_normal_distribution(spark):
+    from stratapanel.functions.normal import normal_cdf, normal_quantile
+
+    ps = [1e-12, 1e-9, 1e-7, 1e-4, 0.02, 0.0749, 0.0751, 0.3, 0.5, 0.77, 0.93, 0.9999, 1 - 1e-7]
+    df = spark.createDataFrame([(p, x) for p, x in zip(ps, [-38.0, -30.0, -7.2, -7.0, -3.0, -1.0, -1e-9, 0.0, 0.5, 2.0, 6.9, 7.3, 40.0])], "p double, x double").coalesce(1)
+    for r in df.select("p", "x", normal_quantile(F.col("p")).alias("q"), normal_cdf(F.col("x")).alias("c")).collect():
+        assert r["q"] == pytest.approx(NormalDist().inv_cdf(r["p"]), rel=1e-13)
+        assert r["c"] == pytest.approx(math.erfc(-r["x"] / 2**0.5) / 2, rel=1e-7, abs=1e-300)
+
+
+@pytest.mark.parametrize("spec", ["QuantileUniform", "QuantileNormal", "AsinhTransform->QuantileNormal"])
+def test_quantile_scalers_stay_on_the_jvm(spark, spec):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([np.zeros(300), rng.gamma(2, 50, 700)])
+    df = spark.createDataFrame([(float(x),) for x in values] + [(None,), (float("nan"),)], "x double")
+    scaler = Scaler(spec, ["x"]).fit(df.where("not isnan(x)"))
+    out = scaler.transform(df.withColumn("was", F.col("x")))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    grid, refs = np.quantile(np.arcsinh(values) if "Asinh" in spec else values, np.linspace(0, 1, 1000)), np.linspace(0, 1, 1000)
+    rows = out.collect()
+    for r in rows:
+        if r["was"] is None or r["was"] != r["was"]:
+            assert r["x"] is None if r["was"] is None else r["x"] != r["x"]
+            continue
+        v = np.arcsinh(r["was"]) if "Asinh" in spec else r["was"]
+        p = (np.interp(v, grid, refs) - np.interp(-v, -grid[::-1], -refs[::-1])) / 2
+        assert r["x"] == pytest.approx(p if spec == "QuantileUniform" else NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7)), abs=1e-9)
+    back = scaler.inverse_samples(out.where("not isnan(x)").withColumn("s", F.array("x", "x")), "x", "s").collect()
+    assert all(r["s"] == pytest.approx([r["was"]] * 2, abs=1e-5) for r in back)
+    ends = scaler.inverse_samples(spark.createDataFrame([([-1e9, 1e9, None],)], "s array<double>"), "x", "s").first()["s"]
+    assert ends[:2] == pytest.approx([values.min(), values.max()]) and ends[2] is None
