@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,34 @@ def numeric_audit(panel: DataFrame, columns: list[str], max_abs: float = 1e9) ->
     return panel.agg(F.array(*counts).alias("a")).select(F.inline("a"))
 
 
+#: What is observed of a column in passing; moments leave null, NaN and infinite values out.
+MOMENTS = ("n", "low", "mean", "high", "std", "nan", "inf")
+
+
+def watched(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Observation]:
+    """``df`` with the moments of columns attached: the next job that reads it computes them on its way, without a scan of their own."""
+    cells = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        held = F.when(~poisoned(x), x)
+        cells += [F.struct(F.count("*"), F.min(held), F.avg(held), F.max(held), F.stddev_pop(held), F.count_if(x.isNull() | F.isnan(x)), F.count_if(F.abs(x) == float("inf"))).alias(c)]
+    seen = Observation()
+    return df.observe(seen, *cells), seen
+
+
+def watched_inverse(df: DataFrame, scaler, columns: list[str]) -> tuple[DataFrame, dict[str, Observation]]:
+    """The inverse transform, watched on both sides by the one job that writes it."""
+    before, seen = watched(df, columns)
+    after, seen_after = watched(scaler.inverse_transform(before), columns)
+    return after, {"before": seen, "after": seen_after}
+
+
+def moments(spark: SparkSession, seen: dict[str, Observation], columns: list[str]) -> DataFrame:
+    """(side, column, n, low, mean, high, std, nan, inf) once a job has read what was watched; rows for any metrics sink."""
+    rows = [(side, c, *o.get[c]) for side, o in seen.items() for c in columns]
+    return spark.createDataFrame(rows, "side string, column string, n long, low double, mean double, high double, std double, nan long, inf long")
+
+
 def check_numbers(panel: DataFrame, columns: list[str], max_abs: float = 1e9) -> None:
     for r in numeric_audit(panel, columns, max_abs).collect():  # a row for each column
         if r["poisoned"]:

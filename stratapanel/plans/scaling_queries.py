@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratapanel.functions import normal
 from stratapanel.functions.transforms import log_target, unlog_target
-from stratapanel.operators import panel
+from stratapanel.operators import audit, panel
 from stratapanel.operators.scaling import GroupedScaler, Scaler
 from stratapanel.plans.panels import ASINH, DAILY, DAYS, PD, daily
 from stratapanel.plans.registry import query, rounded
@@ -180,3 +180,20 @@ def quantile_sample_inverse(spark, d):
     ranks = scaler.transform(rows).select("day_id", "user_id", F.array(*(k * F.col("y") for k in (0.0, 0.25, 0.5, 1.0))).alias("samples"))
     back = scaler.inverse_samples(ranks, "y", "samples")
     return rounded(back.select("day_id", "user_id", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total")), 3)
+
+
+_SIDES = "UNION ALL".join(f" SELECT '{side}' AS side, '{c}' AS \"column\", {x} AS x FROM w " for side, c, x in (("before", "y", "z"), ("before", "n", "m"), ("after", "y", "y"), ("after", "n", "n")))
+
+
+@query(
+    "inverse_moments",
+    f"""WITH {PD}, w AS (SELECT y, n::DOUBLE AS n, {ASINH.format('y')} / max(abs({ASINH.format('y')})) OVER () AS z, {ASINH.format('n')} / max(abs({ASINH.format('n')})) OVER () AS m FROM pd), v AS ({_SIDES})
+  SELECT side, "column", count(*) AS n, round(min(x), 4) AS low, round(avg(x), 4) AS mean, round(max(x), 4) AS high, round(stddev_pop(x), 4) AS std, 0::BIGINT AS nan, 0::BIGINT AS inf FROM v GROUP BY 1, 2""",
+)
+def inverse_moments(spark, d):
+    """Moments of both sides of an inverse transform, observed by the job that writes its result."""
+    rows = daily(spark, d)
+    scaler = Scaler("AsinhTransform->MaxAbsScaler", ["y", "n"]).fit(rows)
+    after, seen = audit.watched_inverse(scaler.transform(rows), scaler, ["y", "n"])
+    after.write.format("noop").mode("overwrite").save()
+    return rounded(audit.moments(spark, seen, ["y", "n"]), 4)

@@ -141,3 +141,20 @@ def test_quantile_scalers_stay_on_the_jvm(spark, spec):
     assert all(r["s"] == pytest.approx([r["was"]] * 2, abs=1e-5) for r in back)
     ends = scaler.inverse_samples(spark.createDataFrame([([-1e9, 1e9, None],)], "s array<double>"), "x", "s").first()["s"]
     assert ends[:2] == pytest.approx([values.min(), values.max()]) and ends[2] is None
+
+
+def test_moments_in_passing(spark, tmp_path):
+    from stratapanel.operators import audit
+    from stratapanel.sources.tables import read_metrics, write_metrics
+
+    values = [1.0, 2.0, 4.0, None, float("nan"), float("inf")]
+    df = spark.createDataFrame([(x,) for x in values], "x double").repartition(3)
+    scaler = Scaler("StandardScaler", ["x"]).fit(df.where("x < 10"))
+    after, seen = audit.watched_inverse(scaler.transform(df), scaler, ["x"])
+    after.write.parquet(str(tmp_path / "out"))
+    found = audit.moments(spark, seen, ["x"])
+    write_metrics(found, str(tmp_path / "metrics"))
+    got = {r["side"]: r for r in read_metrics(spark, str(tmp_path / "metrics")).collect()}
+    assert (got["after"]["n"], got["after"]["nan"], got["after"]["inf"]) == (6, 2, 1)
+    assert got["after"]["low"] == pytest.approx(1) and got["after"]["high"] == pytest.approx(4) and got["after"]["mean"] == pytest.approx(7 / 3)
+    assert got["before"]["mean"] == pytest.approx(0, abs=1e-12) and got["before"]["std"] == pytest.approx(1)
