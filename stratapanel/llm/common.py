@@ -67,6 +67,11 @@ def free(names: list[str], taken: list[str], prefix: str) -> list[str]:
     return out
 
 
+def plainly(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ... in place of its own: functions over batches take columns by plain name, which one with a dot isn't."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from stratapanel.llm.common import cut, documents, free, near
+from stratapanel.llm.common import cut, documents, free, near, plainly
 
 #: Expected labelled documents for each language in the sample; lengths of n-grams.
 FIT_DOCS, ORDERS = 1500, (3, 4)
@@ -206,18 +206,19 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     held = filters
     _letters()  # filled here, it reaches the tasks ready
     names = free(["lang_pred", "score", *(("rate", "lead", "grams") if evidence else ())], ["doc_id", *keep], "pred_")
-    (hidden,) = free(["text"], ["doc_id", *keep], "_")
-    picked = docs.select(F.col(id_col).alias("doc_id"), *(f"`{c}`" for c in keep), F.col(text_col).alias(hidden))
-    schema = StructType([*picked.schema.fields[:-1], StructField(names[0], StringType()), *(StructField(n, DoubleType()) for n in names[1:])])
+    picked = plainly(docs.select(F.col(id_col), *(f"`{c}`" for c in keep), F.col(text_col)))
+    schema = StructType([*picked.schema.fields[:-1], StructField("lang", StringType()), *(StructField(f"figure{i}", DoubleType()) for i in range(1, len(names)))])
+
+    made = schema.names
 
     def predict(batches):
         for batch in batches:
             *rest, texts = batch.columns
             langs, *figures = held.judge([t or "" for t in texts.to_pylist()])
             found = [pa.array(langs, pa.string()), *map(pa.array, figures)][: len(names)]
-            yield pa.RecordBatch.from_arrays([*rest, *found], [*batch.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*rest, *found], made)
 
-    return picked.mapInArrow(predict, schema)
+    return picked.mapInArrow(predict, schema).toDF("doc_id", *keep, *names)
 
 
 def split_off(docs: DataFrame) -> DataFrame:

@@ -19,16 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from stratapanel.llm.common import cut, documents, free
+from stratapanel.llm.common import cut, documents, free, plainly
 
 #: Samples in a row of a stored image; level of its compression.
 WIDTH, LEVEL = 192, 1
 DIGEST = "sha256:"
 ITEM = "struct<position:int,kind:string,text:string,ref:string,digest:string,caption:string>"
 # Elements that end a block of text, that hold no text, and that refer to media.
-BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul title".split())
-HIDDEN = frozenset("script style template noscript".split())
-MEDIA = frozenset("img video audio source embed".split())
+BLOCKS = frozenset(("address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul", "title"))
+HIDDEN = frozenset(("script", "style", "template", "noscript"))
+MEDIA = frozenset(("img", "video", "audio", "source", "embed"))
 
 
 class _Sequence(HTMLParser):
@@ -104,17 +104,18 @@ def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     the id or ``keep`` is called items, the result is called media_items; it comes last.
     """
     (result,) = free(["items"], [id_col, *keep], "media_")
-    (hidden,) = free(["html"], [id_col, *keep], "_")
-    picked = pages.select(f"`{id_col}`", *(f"`{c}`" for c in keep), F.col(html_col).alias(hidden))
-    schema = StructType([*picked.schema.fields[:-1], StructField(result, StructType.fromDDL(f"items array<{ITEM}>")[0].dataType)])
+    picked = plainly(pages.select(f"`{id_col}`", *(f"`{c}`" for c in keep), F.col(html_col)))
+    schema = StructType([*picked.schema.fields[:-1], StructField("items", StructType.fromDDL(f"items array<{ITEM}>")[0].dataType)])
+
+    names = schema.names
 
     def read(batches):
         kind = pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "ref", "digest", "caption"))]))
         for batch in batches:
             *rest, html = batch.columns
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([parse(h) for h in html.to_pylist()], kind)], [*batch.schema.names[:-1], result])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([parse(h) for h in html.to_pylist()], kind)], names)
 
-    return picked.mapInArrow(read, schema)
+    return picked.mapInArrow(read, schema).toDF(id_col, *keep, result)
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def mix(docs: DataFrame, weights=ranked_weights, max_repeats: float = 3.0, seed:
 
     Size is the number of words; null and empty texts have size 0 and are never
     sampled.  Null is a source of its own.  Documents of equal rank are ordered by
-    id and size; rows alike in all of these are interchangeable.  The sample ends
+    id, size and digest of the text; rows alike in all of these are interchangeable.  The sample ends
     with the document whose middle lies before the cut, so that a source misses
     its target by half a document at most.  An empty table gives an empty result;
     other columns of the input are not carried, whatever their names.
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, weights=ranked_weights, max_repeats: float = 3.0, seed:
     # A source without a cut takes all that have a rank (its rest is its size, up to rounding).
     kind = F.when(F.col("code").isNull(), 0).when(F.col("has_cut").isNull() | (F.col("code") < F.col("head")), 1).when(F.col("code") > F.col("head"), 0).otherwise(2)
     marked = marked.withColumn("kind", kind)
-    edge = Window.partitionBy("source").orderBy("rank", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = Window.partitionBy("source").orderBy("rank", "u", "doc_id", "size", "th").rowsBetween(Window.unboundedPreceding, -1)
     out = ["doc_id", "th", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).alias("taken")]
     sure = marked.where("kind < 2").withColumn("copies", F.col("whole") + F.col("kind"))
     last = (

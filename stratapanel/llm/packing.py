@@ -66,14 +66,16 @@ def fill(pieces: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, digits
     """Batches of pieces (doc_id, piece, length, other columns): adds bucket, bucket_length, batch, slot, padding.
 
     ``length`` may be in words, tokens or any unit, the budget's; it has few different
-    values, as pieces have a bound.  Pieces alike in id and number are
+    values, as pieces have a bound.  Pieces alike in id and number
+    are ordered by length and a digest of their other columns, so that only equal ones are
     interchangeable.  ``batch`` counts from 0 within a bucket; its pieces times
     ``bucket_length`` stay within ``budget`` (a piece longer than the budget is a batch
     of its own).  An empty table gives an empty result.
     """
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("piece").cast("string")))
     keep = pieces.columns
-    pieces = cut(pieces.withColumn("__pack_key", key))
+    others = [F.col(f"`{c}`") for c in keep if c not in ("doc_id", "piece", "length")]
+    pieces = cut(pieces.withColumn("__pack_key", key).withColumn("__pack_else", F.xxhash64(*others) if others else F.lit(0)))
     histogram = pieces.groupBy("length").count().orderBy("length").collect()  # a row for each length that a piece may have
     bounds = optimal_boundaries([r["length"] for r in histogram], [r["count"] for r in histogram], buckets)
     bucket, bound = F.lit(len(bounds) - 1), F.lit(bounds[-1] if bounds else 0)
@@ -84,12 +86,12 @@ def fill(pieces: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, digits
     # Pieces before each digit of a bucket: at most buckets * 16 ** digits rows.
     run = Window.partitionBy("bucket").orderBy("__pack_digit").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("bucket", "__pack_digit").count().withColumn("__pack_before", F.coalesce(F.sum("count").over(run), F.lit(0))).drop("count")
-    within = Window.partitionBy("bucket", "__pack_digit").orderBy("__pack_key", "doc_id", "piece")
+    within = Window.partitionBy("bucket", "__pack_digit").orderBy("__pack_key", "doc_id", "piece", "length", "__pack_else")
     ranked = placed.withColumn("__pack_place", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["bucket", "__pack_digit"])
     place = F.col("__pack_before") + F.col("__pack_place")
     each = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1))), F.lit(1))
     return ranked.select(
-        *keep, "bucket", "bucket_length",
+        *(f"`{c}`" for c in keep), "bucket", "bucket_length",
         F.floor(place / each).cast("long").alias("batch"), (place % each).cast("long").alias("slot"), (F.col("bucket_length") - F.col("length")).alias("padding"),
     )
 
@@ -143,7 +145,7 @@ WITH d AS (
 ), q AS (
   SELECT p.*, bucket, bound FROM p ASOF JOIN bounds ON p.length <= bounds.bound
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY key, doc_id, piece) - 1 AS place, greatest({BUDGET} // greatest(bound, 1), 1) AS each FROM q
+  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY key, doc_id, piece, length) - 1 AS place, greatest({BUDGET} // greatest(bound, 1), 1) AS each FROM q
 )
 SELECT doc_id, piece, start_word, length, bucket::INTEGER AS bucket, bound::BIGINT AS bucket_length,
        (place // each)::BIGINT AS batch, (place % each)::BIGINT AS slot, bound - length AS padding

@@ -230,7 +230,7 @@ def _first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str
 #: Near copies by similarity: fingerprints of a text; bands of each, of which a shard takes two (some 26 bits); bits of
 #: all fingerprints that a pair to be verified may differ in (a pair at 0.8 differs in about 15 %, unrelated texts in
 #: half); nodes of a block.  Two bands of few, over more fingerprints, find as much with half the keys of three of seven.
-SEEDS, PARTS, REACH, BLOCK = 14, 5, 0.25, 256
+SEEDS, PARTS, REACH, BLOCK = 20, 5, 0.25, 256
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
