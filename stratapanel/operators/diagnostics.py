@@ -96,6 +96,6 @@ def describe(stats: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def sampled_entities(panel: DataFrame, entity: str, n: int, seed: int) -> DataFrame:
-    """``n`` entities drawn by a hash, the same in every run."""
-    drawn = panel.select(entity).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(entity).cast("string")), entity).limit(n)
+    """``n`` entities drawn by a digest of seed and name, the same in every run."""
+    drawn = panel.select(entity).distinct().orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(entity).cast("string"))), entity).limit(n)
     return panel.join(drawn, entity, "left_semi")

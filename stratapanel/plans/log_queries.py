@@ -97,7 +97,7 @@ def top_timelines(spark, d):
     return log(spark, d).groupBy("user_id").agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total")).orderBy(F.desc("total"), "user_id").limit(10)
 
 
-@query("sampled_entities")
+@query("sampled_entities", f"WITH {LOG} SELECT lg.* FROM lg JOIN (SELECT user_id FROM (SELECT DISTINCT user_id FROM lg) ORDER BY md5('42|' || user_id), user_id LIMIT 10) USING (user_id)")
 def sampled_entities(spark, d):
     return diagnostics.sampled_entities(log(spark, d), "user_id", 10, 42)
 

@@ -60,8 +60,9 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 
 
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path)
+def read_metrics(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Metrics of a JSON folder; without a schema, a metric that is null in all rows has no column."""
+    return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
 def latest_artifact(spark: SparkSession, root: str, run_type: str) -> str:
