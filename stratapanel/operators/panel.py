@@ -19,17 +19,22 @@ def aggregate_panel(rows: DataFrame, time: Column, entity: Column, measures: dic
     return rows.groupBy(time.alias(spec.time), entity.alias(spec.entity)).agg(*(m.alias(n) for n, m in measures.items()))
 
 
-def densify(panel: DataFrame, entities: DataFrame, spec: PanelSpec, fill: float = 0.0, span: tuple[int, int] | None = None) -> DataFrame:
+def densify(panel: DataFrame, entities: DataFrame, spec: PanelSpec, fill: float = 0.0, span: tuple[int, int] | DataFrame | None = None) -> DataFrame:
     """All (time, entity) cells over ``span`` (default: all observed times), unobserved ones filled.
 
-    Each entity gets its cells by exploding a sequence, so no times are collected.
+    A span is a pair of times, or a frame of one row with two columns, its first and last
+    time, which is found within the plan and sent to all tasks.  Each entity gets its cells
+    by exploding a sequence, so no times are collected; a span of nulls has no cells.
     """
+    cells = entities.select(spec.entity).distinct()
     if span is None:
-        row = panel.agg(F.min(spec.time), F.max(spec.time)).first()
-        span = (row[0], row[1])
-    if span[0] is None:
-        return panel
-    cells = entities.select(spec.entity).distinct().withColumn(spec.time, F.explode(F.sequence(F.lit(span[0]), F.lit(span[1]))))
+        span = panel.agg(F.min(spec.time), F.max(spec.time))
+    if isinstance(span, DataFrame):
+        times = span.toDF("first", "last").select(F.sequence("first", "last").alias(spec.time))
+        cells = cells.crossJoin(F.broadcast(times))
+    else:
+        cells = cells.withColumn(spec.time, F.sequence(F.lit(span[0]), F.lit(span[1])))
+    cells = cells.withColumn(spec.time, F.explode(spec.time))
     values = [c for c in panel.columns if c not in spec.keys]
     filled = [F.coalesce(F.col(c), F.lit(fill).cast(panel.schema[c].dataType)).alias(c) for c in values]
     return cells.join(panel, spec.keys, "left").select(*spec.keys, *filled)

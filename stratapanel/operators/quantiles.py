@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bins of a column, a power of two; the bounds only have to be about even for even work.
 BINS = 1024
+#: Distinct values, of all columns together, that are ranked as one bin a column.
+ONE_BIN = 100_000
 
 
 def _bin(x: Column, bounds: Column) -> Column:
@@ -46,7 +48,8 @@ def _ranks(n: int, p: float, discrete: bool) -> tuple[int, int, float]:
 def exact_quantiles(df: DataFrame, values: dict[str, Column], probabilities: list[float], discrete: bool = False) -> dict[str, list[float] | None]:
     """Quantiles of each column at each probability, linearly interpolated or, if ``discrete``, values that occur.
 
-    Nulls don't count; NaN is the greatest value; a column without values gets None.
+    Nulls don't count; NaN is the greatest value; a column without values gets None.  Up
+    to ONE_BIN distinct values are ranked at once; more are dealt to bins before.
     The driver sees one count for each bin and the values asked for, whatever the
     number of rows.
     """
@@ -54,10 +57,15 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probabilities: lis
     cells = df.select(F.inline(F.array(*(F.struct(F.lit(i).alias("c"), values[c].cast("double").alias("x")) for i, c in enumerate(names)))))
     counts = cells.where("x IS NOT NULL").groupBy("c", "x").agg(F.count("*").alias("n")).persist()
     try:
-        binned = in_bins(counts, len(names))
         totals: dict[int, list[tuple[int, int]]] = {}
-        for r in binned.groupBy("c", "bin").agg(F.sum("n").alias("n")).sort("c", "bin").collect():
-            totals.setdefault(r["c"], []).append((r["bin"], r["n"]))
+        columns = counts.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()
+        if sum(r["distinct"] for r in columns) <= ONE_BIN:
+            binned = counts.withColumn("bin", F.lit(0))
+            totals.update((r["c"], [(0, r["n"])]) for r in columns)
+        else:
+            binned = in_bins(counts, len(names))
+            for r in binned.groupBy("c", "bin").agg(F.sum("n").alias("n")).sort("c", "bin").collect():
+                totals.setdefault(r["c"], []).append((r["bin"], r["n"]))
         sizes = {c: sum(n for _, n in bins) for c, bins in totals.items()}
         places = {c: [_ranks(n, p, discrete) for p in probabilities] for c, n in sizes.items()}
         wanted = []

@@ -7,7 +7,7 @@ on the order of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratapanel.functions import calendar
@@ -41,17 +41,17 @@ def monthly_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.aggregate_panel(rows, calendar.month_id(F.col("o_orderdate")), F.col("c_nationkey"), {"y": money("o_totalprice"), "n": F.count("*")}, MONTHLY)
 
 
-def _span(panel: DataFrame, spec: PanelSpec, parts: Partition) -> tuple[int, int]:
-    """From the first to the last time of partitions and rows."""
-    low, high = panel.agg(F.min(spec.time), F.max(spec.time)).first()
-    return (parts.train[0], parts.test[1]) if low is None else (min(low, parts.train[0]), max(high, parts.test[1]))
+def _span(rows: DataFrame, time: Column, parts: Partition) -> DataFrame:
+    """One row: from the first to the last time of partitions and rows."""
+    first, last = F.min(time), F.max(time)
+    return rows.agg(F.least(first, F.lit(parts.train[0])), F.greatest(last, F.lit(parts.test[1])))
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"))
     sparse = monthly_sparse(spark, sf_dir)
-    times = table(spark, sf_dir, "orders").select(calendar.month_id(F.col("o_orderdate")).alias(MONTHLY.time))
-    return P.densify(sparse, nations, MONTHLY, span=_span(times, MONTHLY, PARTITION))
+    span = _span(table(spark, sf_dir, "orders"), calendar.month_id(F.col("o_orderdate")), PARTITION)
+    return P.densify(sparse, nations, MONTHLY, span=span)
 
 
 def daily_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,8 @@ def daily_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    times = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(calendar.day_id(F.col("ts")).alias(DAILY.time))
-    return P.densify(daily_sparse(spark, sf_dir), users, DAILY, span=_span(times, DAILY, DAYS))
+    span = _span(table(spark, sf_dir, "events").where("event_type = 'purchase'"), calendar.day_id(F.col("ts")), DAYS)
+    return P.densify(daily_sparse(spark, sf_dir), users, DAILY, span=span)
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

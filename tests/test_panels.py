@@ -20,6 +20,18 @@ def frame(spark):
     return spark.createDataFrame(rows, "month_id int, entity int, y double, f double")
 
 
+def test_dense_panels(spark):
+    spec = PanelSpec("month_id", "_first", ("y",))
+    rows = spark.createDataFrame([(3, 1, 2.0), (5, 1, None), (4, 2, 1.0)], "month_id int, _first int, y double")
+    entities = spark.createDataFrame([(1,), (2,), (3,), (3,)], "_first int")
+    held = lambda low, high: {(t, e, {(3, 1): 2.0, (4, 2): 1.0}.get((t, e), 0.0)) for t in range(low, high + 1) for e in (1, 2, 3)}
+    for span, expected in ((None, held(3, 5)), ((2, 6), held(2, 6)), (rows.agg(F.min("month_id"), F.lit(7)), held(3, 7))):
+        found = [tuple(r) for r in panel.densify(rows, entities, spec, span=span).collect()]
+        assert set(found) == expected and len(found) == len(expected)
+    assert panel.densify(rows.limit(0), entities, spec).count() == 0
+    assert panel.densify(rows, entities.limit(0), spec).count() == 0
+
+
 def test_elementary(spark):
     xs = [-1e9, -50.0, -1.0, 0.0, 0.5, 700.0]
     df = spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1)

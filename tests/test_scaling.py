@@ -96,8 +96,9 @@ def test_exact_quantiles(spark, monkeypatch):
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
     values = {name: F.col(name) for name in "abcd"}
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    for bins in (1024, 8):  # also with many values in a bin
+    for bins, one in ((1024, 100_000), (1024, 0), (8, 0)):  # at once, in bins, and with many values in a bin
         monkeypatch.setattr(quantiles, "BINS", bins)
+        monkeypatch.setattr(quantiles, "ONE_BIN", one)
         got = quantiles.exact_quantiles(df, values, probabilities)
         assert got["c"] is None
         for i, name in enumerate("abcd"):
