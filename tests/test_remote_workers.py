@@ -20,7 +20,7 @@ def sees(_):
     return importlib.util.find_spec("stratapanel") is not None
 
 assert not spark.range(1).select(sees(lit(1))).first()[0]
-for name in ("linear_forecast", "linear_forecast_samples", "scale_quantile_normal", "gate_states", "lr_plateau", "linear_forecast_covariates", "training_log", "dropout_coverage"):
+for name in ("linear_forecast", "linear_forecast_samples", "scale_quantile_normal", "gate_states", "lr_plateau", "linear_forecast_covariates", "training_log", "dropout_coverage", "bayes_sweep"):
     assert len(catalog.QUERIES[name](spark, {sf!r}).collect()) > 0, name
 print("all ran")
 """
