@@ -231,6 +231,8 @@ def _first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str
 #: all fingerprints that a pair to be verified may differ in (a pair at 0.8 differs in about 15 %, unrelated texts in
 #: half); nodes of a block.  Two bands of few, over more fingerprints, find as much with half the keys of three of seven.
 SEEDS, PARTS, REACH, BLOCK = 20, 5, 0.25, 256
+#: Nodes whose keys one task writes; shingles that count as a row of a block, so that long texts make more blocks.
+DEALT, ROW_SHINGLES = 1 << 13, 1 << 12
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -262,7 +264,7 @@ def seeded(found: np.ndarray, seeds: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, seeds: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, th, sh, fps) for each row; sh is a digest of its set of shingles, fps its fingerprints."""
+    """(doc_id, th, sh, size, fps) for each row; sh is a digest of its set of shingles, size their number, fps its fingerprints."""
     picked = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "text")
 
@@ -271,10 +273,11 @@ def sketches(docs: DataFrame, words: int, seeds: int, id_col: str, text_col: str
             sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
             sh = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             fps = pa.array([seeded(x, seeds).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            size = pa.array([len(x) for x in sets], pa.int64())
             rest = [i for i, n in enumerate(batch.schema.names) if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(sh), fps], [*(batch.schema.names[i] for i in rest), "sh", "fps"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(sh), size, fps], [*(batch.schema.names[i] for i in rest), "sh", "size", "fps"])
 
-    return picked.mapInArrow(make, schema + ", sh long, fps array<long>")
+    return picked.mapInArrow(make, schema + ", sh long, size long, fps array<long>")
 
 
 def _by_task(batches, least: int):
@@ -302,15 +305,21 @@ def _blocks(members: DataFrame, block: int, *keep: str) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, seeds: int, tree: int = TREE) -> DataFrame:
-    """(a, b): links that connect all nodes (sh, fps) which share a shard of any seed and differ in few bits of all fingerprints."""
+    """(a, b): links that connect all nodes (sh, fps) which share a shard of any seed and differ in few bits of all fingerprints.
+
+    A shard's key holds the seed in its last bits.  Each node has many keys, so nodes,
+    which should be materialised, are dealt to as many tasks as their number asks for.
+    """
     cuts = [round(64 * i / PARTS) for i in range(PARTS + 1)]
     chosen = np.array([sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in c) for c in combinations(range(PARTS), 2)], np.uint64)
     signed = chosen.view(np.int64).tolist()
-    each = nodes.select("sh", F.posexplode("fps").alias("seed", "fp"))
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("seed"), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)))
-    placed = each.select("sh", "seed", F.explode(keys).alias("key"))
+    dealt = nodes.select("sh", "fps").repartition(max(1, -(-nodes.count() // DEALT)), "sh")
+    each = dealt.select("sh", F.posexplode("fps").alias("seed", "fp"))
+    last = (1 << max(1, (seeds - 1).bit_length())) - 1
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("seed"), F.col("fp").bitwiseAND(F.lit(m).cast("long"))).bitwiseAND(F.lit(~last)).bitwiseOR(F.col("seed")) for i, m in enumerate(signed)))
+    placed = each.select("sh", F.explode(keys).alias("key"))
     shards = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    slim = placed.join(shards, "key")
+    slim = placed.join(shards, "key").withColumn("seed", F.col("key").bitwiseAND(F.lit(last)).cast("int"))
     most = int(64 * seeds * REACH)
 
     def find(batches):
@@ -327,7 +336,11 @@ def candidates(nodes: DataFrame, seeds: int, tree: int = TREE) -> DataFrame:
 
 
 def verified(members: DataFrame, words: int, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that connect all pairs of rows (key, n, sh, text) of one key whose shingle sets have a Jaccard similarity of ``least``."""
+    """(a, b): links that connect all pairs of rows (key, n, sh, text) of one key whose shingle sets have a Jaccard similarity of ``least``.
+
+    ``n`` is the number of a key's rows, or more where their texts are long: the rows
+    are dealt into n / ``block`` blocks, and a task takes two.
+    """
 
     def find(batches):
         for table in _by_task(batches, 1):
@@ -364,10 +377,11 @@ def similar(docs: DataFrame, words: int, least: float, seeds: int = SEEDS, id_co
     have a Jaccard similarity of ``least``.  No pair below it is linked directly.
     """
     marked = cut(sketches(docs, words, seeds, id_col, text_col))
-    nodes = cut(marked.groupBy("sh").agg(F.min("fps").alias("fps"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("f")))
+    nodes = cut(marked.groupBy("sh").agg(F.min("fps").alias("fps"), F.min("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("f")))
     loose = cut(components(candidates(nodes, seeds)).withColumnsRenamed({"node": "sh", "component": "key"}))
-    sizes = loose.groupBy("key").agg(F.count("*").alias("n"))
-    first = cut(loose.join(sizes, "key").join(nodes, "sh").select("sh", "key", "n", F.col("f.doc_id").alias("i"), F.col("f.th").alias("h")))
+    found = loose.join(nodes.drop("fps"), "sh")
+    sizes = found.groupBy("key").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / ROW_SHINGLES)).alias("n"))
+    first = cut(found.join(sizes, "key").select("sh", "key", "n", F.col("f.doc_id").alias("i"), F.col("f.th").alias("h")))
     texts = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("text"))
     members = meet(texts, first, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("sh", "key", "n", "text").dropDuplicates(["sh"])
     pairs = cut(verified(members, words, least))

@@ -131,3 +131,19 @@ def test_similar_large_group_in_blocks(spark):
     edges = m.verified(members, 5, 0.8, block=8)
     got = {r["node"]: r["component"] for r in m.components(edges).collect()}
     assert got == dict.fromkeys(range(59), 0)
+
+
+def test_similar_long_texts_make_blocks(spark, monkeypatch):
+    monkeypatch.setattr(m, "ROW_SHINGLES", 8)
+    taken = []
+    blocks = m._blocks
+    monkeypatch.setattr(m, "_blocks", lambda members, block, *keep: taken.append((block, members)) or blocks(members, block, *keep))
+    base = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join([*base[: 200 * i], f"x{i}", *base[200 * i + 1 :]])) for i in range(1, 13)] + [(50, "another text"), (51, "another text"), (52, None)]
+    found = m.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 0.8).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["component"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, groups.values())) == [list(range(1, 13)), [50, 51], [52]]
+    members = [x for block, x in taken if block == m.BLOCK][0]
+    assert {r["n"] for r in members.select("n").distinct().collect()} == {-(-12 * 2996 // 8)}  # 18 blocks for 12 texts
