@@ -50,3 +50,22 @@ def poisoned(x: Column) -> Column:
 def repaired(w: Column) -> Column:
     """Weights with NaN and +inf as 1 and -inf as 0."""
     return F.when(w.isNull() | F.isnan(w) | (w == float("inf")), 1.0).when(w == float("-inf"), 0.0).otherwise(w)
+
+
+def number_text(x: Column) -> Column:
+    """A double as SQL engines write it: its fewest digits, plain from 0.0001 up to 1e16 and else as 1.5e+16.
+
+    A cast to string turns to exponents at 10,000,000 already, and on Java 17 may have digits
+    to spare; the first of 15 to 17 digits that gives the value back is taken.  From 1e16 on,
+    the last of 17 digits may differ; subnormal numbers may have more than their fewest.
+    """
+    x = x.cast("double")
+    forms = [F.format_string(f"%.{n}e", x) for n in (14, 15, 16)]
+    digits = F.coalesce(*(F.when(f.try_cast("double") == x, f) for f in forms), forms[-1])
+    whole = lambda c: F.regexp_replace(c, r"\.$", ".0")
+    plain = whole(F.rtrim(digits.try_cast("decimal(38,21)").cast("string"), F.lit("0")))
+    exponent = F.concat(F.regexp_replace(F.substring_index(digits, "e", 1), r"\.?0+$", ""), F.lit("e"), F.substring_index(digits, "e", -1))
+    size = F.abs(x)
+    text = F.when(x == 0, x.cast("string")).when((size >= 1e-4) & (size < 1e16), plain).otherwise(exponent)
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.when(x.isNotNull(), F.coalesce(odd, text))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratapanel.functions import calendar
+from stratapanel.functions.elementary import number_text
 from stratapanel.operators import audit, fingerprint, panel, windows
 from stratapanel.operators import forecast as fc
 from stratapanel.plans.panels import ASINH, DAILY, DAYS, INPUTS, MONTHLY, PARTITION, PD, PD_SPARSE, PM, PM_SPARSE, STEPS, THRESHOLD, daily, daily_sparse, monthly, monthly_sparse, table
@@ -185,7 +186,7 @@ def event_cells(spark, d):
 @query("series_arrays", f"WITH {PM} SELECT nation, min(month_id) AS start, list(y ORDER BY month_id)::VARCHAR AS y FROM pm GROUP BY nation")
 def series_arrays(spark, d):
     rows = panel.as_arrays(monthly(spark, d), MONTHLY, ["y"])
-    return rows.select("nation", "start", F.concat(F.lit("["), F.array_join(F.transform("y", lambda v: F.format_string("%s", v)), ", "), F.lit("]")).alias("y"))
+    return rows.select("nation", "start", F.concat(F.lit("["), F.array_join(F.transform("y", lambda v: F.coalesce(number_text(v), F.lit("NULL"))), ", "), F.lit("]")).alias("y"))
 
 
 _ORIGINS = f"{PM}, o AS (SELECT unnest(range({SEQUENCES})) AS q)"
