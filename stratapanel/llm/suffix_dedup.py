@@ -21,6 +21,9 @@ windows with one anchor form a run, the same in every copy of the text around it
 
 Texts travel compressed, and only by key: to cut out the runs of step 2, and to
 remove the spans found.
+
+Passages are found in the same way, with words in place of bytes: a text becomes the
+string of its words' hashes, and all lengths and positions count words.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from stratapanel.llm.common import cut, doc_key, documents
 
 #: Bytes of a repeated string; of an anchor (a power of two).
 MIN_BYTES, GRAM = 400, 64
+#: Words of a repeated passage (over 50); of its anchor (a power of two).
+PASSAGE, WORD_GRAM = 51, 8
 #: Different runs of a group for one task; bytes of text in one suffix order; windows hashed at a time; most windows of a run.
 GROUP, BLOCK, SEGMENT, RUN = 1024, 1 << 20, 1 << 17, 1024
 #: Windows of the blocks that the runs of larger groups are cut into.
@@ -44,6 +49,38 @@ WIDTHS = (64, 8, 1)
 NO_BOUND = 1 << 30
 
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.uint64) | np.uint64(1)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+#: What the bytes of a unit of text are read as: a byte, or a word's hash.
+_KIND = {1: np.uint8, 4: np.uint32}
+
+
+def word_hashes(data: bytes) -> bytes:
+    """A hash of 4 bytes for each word (what stands between white space)."""
+    if not _POWERS:  # of the base and of its inverse; made by each worker
+        for step in (_BASE, pow(_BASE, -1, 1 << 64)):
+            _POWERS.append(np.cumprod(np.r_[np.ones(1, np.uint64), np.full(SEGMENT, step, np.uint64)]))
+    raw, out, at = np.frombuffer(data, np.uint8), [], 0
+    while at < len(raw):
+        part = raw[at : at + SEGMENT]
+        space = _SPACE[part]
+        if len(part) == SEGMENT:  # ends at white space
+            last = len(part) - int(space[::-1].argmax()) if space.any() else 0
+            if not last:  # a word longer than a segment
+                gaps = np.flatnonzero(_SPACE[raw[at:]])
+                last = int(gaps[0]) if len(gaps) else len(raw) - at
+                out.append(np.array([xxhash.xxh3_64_intdigest(data[at : at + last]) >> 32], np.uint32))
+                at += last
+                continue
+            part, space = part[:last], space[:last]
+        edges = np.flatnonzero(np.diff(space, prepend=True, append=True)).reshape(-1, 2)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[part] * _POWERS[0][: len(part)])))
+        h = (sums[edges[:, 1]] - sums[edges[:, 0]]) * _POWERS[1][edges[:, 0]]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append((h >> np.uint64(32)).astype(np.uint32))
+        at += len(part)
+    return np.concatenate(out).tobytes() if out else b""
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -56,29 +93,34 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchors(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all strings of GRAM bytes, and the anchor of each window of ``size`` bytes."""
-    h, span = _TABLE[data], 1
-    while span < GRAM:
+    """Hashes of all strings of GRAM bytes (WORD_GRAM words), and the anchor of each window of ``size`` of them."""
+    h, span = (_TABLE[data], 1) if data.itemsize == 1 else (data * np.uint64(_BASE), 1)
+    gram = _gram(data.itemsize)
+    while span < gram:
         h = h[:-span] * np.uint64(0x9E3779B97F4A7C15 + 2 * span) + h[span:]
         span *= 2
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    return h, _least(h, size - GRAM + 1)
+    return h, _least(h, size - gram + 1)
+
 
+def _gram(unit: int) -> int:
+    return GRAM if unit == 1 else WORD_GRAM
 
-def runs(data: bytes, size: int = MIN_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def runs(data: bytes, size: int = MIN_BYTES, unit: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, numbers of windows and anchors of the runs of a text; whether an anchor may stand there twice.
 
     Only a run with its anchor in two places can repeat a window within itself.
     """
-    n = len(data) - size + 1
+    n = len(data) // unit - size + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, bool))
-    raw, starts, values, twice = np.frombuffer(data, np.uint8), [], [], []
+    raw, starts, values, twice = np.frombuffer(data, _KIND[unit]), [], [], []
     for at in range(0, n, SEGMENT):
         h, m = _anchors(raw[at : min(at + SEGMENT, n) + size - 1], size)
         new = np.concatenate(([0], np.flatnonzero(m[1:] != m[:-1]) + 1))
-        ends = np.concatenate((new[1:], [len(m)])) + (size - GRAM)
+        ends = np.concatenate((new[1:], [len(m)])) + (size - _gram(unit))
         starts.append(new + at)
         values.append(m[new])
         twice.append(np.array([np.count_nonzero(h[a:b] == v) > 1 for a, b, v in zip(new.tolist(), ends.tolist(), m[new])]))
@@ -95,9 +137,9 @@ def runs(data: bytes, size: int = MIN_BYTES) -> tuple[np.ndarray, np.ndarray, np
     return start + piece * RUN, np.minimum(np.repeat(count, parts) - piece * RUN, RUN), value, double
 
 
-def _anchor_place(data: bytes, anchor: int) -> int:
+def _anchor_place(data: bytes, anchor: int, unit: int) -> int:
     """Where the anchor of a run first stands in its text."""
-    h, _ = _anchors(np.frombuffer(data, np.uint8), max(GRAM, len(data)))
+    h, _ = _anchors(np.frombuffer(data, _KIND[unit]), max(_gram(unit), len(data) // unit))
     return int(np.flatnonzero(h.view(np.int64) == anchor)[0])
 
 
@@ -141,10 +183,10 @@ def previous_factors(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndar
     """
     if not len(starts):
         return np.zeros(0, np.int64)
-    padded = np.concatenate((data, np.zeros(size, np.uint8))).astype(np.uint64)
+    padded = np.concatenate((data, np.zeros(size, data.dtype))).astype(np.uint64)
     word, span = padded, 1
-    while span < 8 and span * 2 <= size:
-        word = (word[:-span] << np.uint64(8 * span)) | word[span:]
+    while span * data.itemsize < 8 and span * 2 <= size:
+        word = (word[:-span] << np.uint64(8 * data.itemsize * span)) | word[span:]
         span *= 2
     rank = _ranks(word)
     while span * 2 <= size:
@@ -171,24 +213,38 @@ def _spans(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), (starts[last] + size).tolist()))
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool = True, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _union(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """Spans without those that overlap or touch, in ascending order."""
+    if not len(lo):
+        return []
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    first = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
+    last = np.concatenate((first[1:], [len(lo)])) - 1
+    return list(zip(lo[first].tolist(), hi[last].tolist()))
+
+
+def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool = True, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", words: bool = False) -> DataFrame:
     """(doc_id, th, lo, hi): spans of bytes covered by strings of ``min_bytes`` that occur more than once.
 
-    With ``keep_first`` the occurrence with the least (doc_id, digest, position) isn't
+    With ``words`` all of this counts words: strings of ``min_bytes`` words, whatever white
+    space stands between them, and spans from word to word.  With ``keep_first`` the occurrence with the least (doc_id, digest, position) isn't
     marked.  Spans of a text may overlap and touch.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     key = f"doc_id {kind}, th long"
+    unit, read = (4, word_hashes) if words else (1, bytes)
     source = docs.select(*doc_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
 
     def split(batches):
         for batch in batches:
             owner, start, count, anchor, twice, digest = [], [], [], [], [], []
             for k, data in enumerate(batch.column("data").to_pylist()):
-                s, n, m, double = runs(data, min_bytes)
+                data = read(data)
+                s, n, m, double = runs(data, min_bytes, unit)
                 owner.append(np.full(len(s), k))
                 start.append(s), count.append(n), anchor.append(m), twice.append(double)
-                digest += [xxhash.xxh3_128_digest(data[a : a + b]) for a, b in zip(s.tolist(), (n + min_bytes - 1).tolist())]
+                digest += [xxhash.xxh3_128_digest(data[a : a + b]) for a, b in zip((s * unit).tolist(), ((n + min_bytes - 1) * unit).tolist())]
             take = pa.array(np.concatenate(owner) if owner else np.zeros(0, np.int64))
             two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
             arrays = [np.concatenate(x) if x else np.zeros(0) for x in (start, count, anchor)]
@@ -221,10 +277,10 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool
             unpack = zstandard.ZstdDecompressor().decompress
             take, rows = [], []
             for k, (packed, wants) in enumerate(zip(batch.column("data").to_pylist(), batch.column("runs").to_pylist())):
-                data = unpack(packed)
+                data = read(unpack(packed))
                 for r in wants:
                     take.append(k)
-                    rows.append((r["m"], r["case"], r["start"], r["n"], data[r["start"] : r["start"] + r["n"] + min_bytes - 1]))
+                    rows.append((r["m"], r["case"], r["start"], r["n"], data[r["start"] * unit : (r["start"] + r["n"] + min_bytes - 1) * unit]))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield _keyed(batch, take, rows, kinds, ["m", "case", "start", "n", "data"])
 
@@ -243,12 +299,12 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool
             size = sum(len(x) for x in table.slice(end).column("data").to_pylist())
             table = table.slice(0, end)
             parts = table.column("data").to_pylist()
-            length = np.array([len(x) for x in parts], np.int64)
+            length = np.array([len(x) // unit for x in parts], np.int64)
             base = np.concatenate(([0], np.cumsum(length)[:-1])).astype(np.int64)
             windows = length - (min_bytes - 1)
             owner = np.repeat(np.arange(len(parts)), windows)
             starts = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + base[owner]
-            source = previous_factors(np.frombuffer(b"".join(parts), np.uint8), starts, min_bytes)
+            source = previous_factors(np.frombuffer(b"".join(parts), _KIND[unit]), starts, min_bytes)
             hit = source >= 0
             if not keep_first:
                 hit[source[hit]] = True
@@ -275,7 +331,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool
 
     small = fetched.where("case = 0").repartition("m").sortWithinPartitions("m", F.col("doc_id").isNull(), "doc_id", "th", "start")
     marked = marked.unionByName(small.mapInArrow(factor, f"{key}, lo long, hi long"))
-    return marked.unionByName(_large_groups(fetched.where("case > 0"), key, min_bytes, keep_first))
+    return marked.unionByName(_large_groups(fetched.where("case > 0"), key, min_bytes, keep_first, unit))
 
 
 def _keyed(batch: pa.RecordBatch, take: list[int], rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
@@ -285,7 +341,7 @@ def _keyed(batch: pa.RecordBatch, take: list[int], rows: list[tuple], kinds: lis
     return pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "th", *names])
 
 
-def _large_groups(large: DataFrame, key: str, min_bytes: int, keep_first: bool) -> DataFrame:
+def _large_groups(large: DataFrame, key: str, min_bytes: int, keep_first: bool, unit: int) -> DataFrame:
     """Spans of the runs (doc_id, th, m, case, start, n, data) of groups that are too large for a task."""
     own = [c.split()[0] for c in key.split(", ")] + ["start"]
     alike = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.th") == F.col(f"{b}.th")) & (F.col(f"{a}.start") == F.col(f"{b}.start"))
@@ -295,9 +351,9 @@ def _large_groups(large: DataFrame, key: str, min_bytes: int, keep_first: bool)
         for batch in batches:
             take, rows = [], []
             for k, (m, start, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("m", "start", "data")))):
-                p = _anchor_place(data, m)
+                p = _anchor_place(data, m, unit)
                 take += [k, k]
-                rows += [(m, start, p, 0, data[:p][::-1]), (m, start, p, 1, data[p : p + min_bytes])]
+                rows += [(m, start, p, 0, data[: p * unit][::-1]), (m, start, p, 1, data[p * unit : (p + min_bytes) * unit])]
             yield _keyed(batch, take, rows, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], ["m", "start", "place", "side", "context"])
 
     def neighbours(batches):
@@ -311,7 +367,7 @@ def _large_groups(large: DataFrame, key: str, min_bytes: int, keep_first: bool)
             for k, (m, side, context, start, place) in enumerate(zip(*columns)):
                 own_best = NO_BOUND if before is None else 0
                 if before is not None:
-                    common = _shared(before[2], context) if before[:2] == (m, side) else 0
+                    common = _shared(before[2], context) // unit if before[:2] == (m, side) else 0
                     held.append((*before[3], max(before[4], common)))
                     own_best = common
                 before = (m, side, context, (ids[0][k], ids[1][k], start, place, side), own_best)
@@ -334,7 +390,7 @@ def _large_groups(large: DataFrame, key: str, min_bytes: int, keep_first: bool)
                 if place is not None:  # a window with the anchor at offset o needs o bytes before it and the rest from it on
                     lo, hi = max(0, place - left), min(n, place + right - min_bytes + 1)
                 if lo < hi:
-                    part = data[lo : hi + min_bytes - 1]
+                    part = data[lo * unit : (hi + min_bytes - 1) * unit]
                     take.append(k)
                     rows.append((m, case, start + (place or 0), start + lo, hi - lo, *np.frombuffer(xxhash.xxh3_128_digest(part), np.int64).tolist(), part))
             yield _keyed(batch, take, rows, [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()], ["m", "case", "at", "start", "n", "d1", "d2", "data"])
@@ -360,7 +416,7 @@ def _large_groups(large: DataFrame, key: str, min_bytes: int, keep_first: bool)
                     bounds = [start, *range(start + (at - start) % width, start + n, width), start + n]
                     for lo, hi in zip(bounds, bounds[1:]):
                         if lo < hi:
-                            part = data[lo - start : hi - start + min_bytes - 1]
+                            part = data[(lo - start) * unit : (hi - start + min_bytes - 1) * unit]
                             digest = np.frombuffer(xxhash.xxh3_128_digest(part), np.int64).tolist() if hi - lo == width else (None, None)
                             take.append(k)
                             rows.append((at, lo, hi - lo, *digest, part if width > 1 else None))
@@ -393,8 +449,11 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array([pack(x) for x in batch.column("data").to_pylist()], pa.binary())], ["doc_id", "th", "data"])
 
 
-def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool = True, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept binary.
+def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool = True, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", passage: int = 0) -> DataFrame:
+    """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept binary, n_passage_words.
+
+    n_passage_words are the words that strings of ``passage`` words cover which start
+    anywhere else too, first copies included; nothing is removed for them (0: not looked for).
 
     Null counts as empty.  Texts shorter than ``min_bytes`` stay whole.  Strings are
     judged on the input, within a text too, and overlaps count.  Rows alike in id and
@@ -403,8 +462,10 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool =
     gives an empty result; other columns of the input are not carried.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = repeated_spans(docs, min_bytes, keep_first, group, id_col, text_col)
-    spans = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnsRenamed({"doc_id": "w", "th": "wh"})
+    spans = repeated_spans(docs, min_bytes, keep_first, group, id_col, text_col).withColumn("words", F.lit(False))
+    if passage:
+        spans = spans.unionByName(repeated_spans(docs, passage, False, group, id_col, text_col, True).withColumn("words", F.lit(True)))
+    spans = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "words")).alias("spans")).withColumnsRenamed({"doc_id": "w", "th": "wh"})
     texts = docs.select(*doc_key(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")).mapInArrow(_pack, f"doc_id {kind}, th long, data binary")
     texts = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("w")) & (F.col("th") == F.col("wh")), "left").select("doc_id", "data", "spans")
 
@@ -413,28 +474,25 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, keep_first: bool =
             unpack, rows = zstandard.ZstdDecompressor().decompress, []
             spans = batch.column("spans")
             for k, packed in enumerate(batch.column("data").to_pylist()):
-                data, kept, at, removed, count = unpack(packed), [], 0, 0, 0
+                data, kept, at, removed, count, words = unpack(packed), [], 0, 0, 0, 0
                 if spans[k].is_valid:
                     pair = spans[k].values
-                    lo, hi = pair.field("lo").to_numpy(), pair.field("hi").to_numpy()
-                    order = np.argsort(lo, kind="stable")
-                    lo, hi = lo[order], np.maximum.accumulate(hi[order])
-                    new = np.concatenate(([True], lo[1:] > hi[:-1]))
-                    first = np.flatnonzero(new)
-                    last = np.concatenate((first[1:], [len(lo)])) - 1
-                    for a, b in zip(lo[first].tolist(), hi[last].tolist()):
+                    lo, hi, by_word = (pair.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "words"))
+                    words = sum(b - a for a, b in _union(lo[by_word], hi[by_word]))
+                    for a, b in _union(lo[~by_word], hi[~by_word]):
                         kept.append(data[at:a])
                         at, removed, count = b, removed + b - a, count + 1
                 kept.append(data[at:])
-                rows.append((len(data), removed, count, b"".join(kept)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, [pa.int64()] * 3 + [pa.binary()]))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                rows.append((len(data), removed, count, b"".join(kept), words))
+            kinds = [*[pa.int64()] * 3, pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passage_words"])
 
-    return texts.mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, n_passage_words long")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup(documents(spark, sf_dir), MIN_BYTES, keep_first=False)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = suffix_dedup(documents(spark, sf_dir), MIN_BYTES, keep_first=False, passage=PASSAGE)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}
